@@ -1,7 +1,7 @@
 """All queries of this subpackage and the SQL to hold them against."""
 
-from . import decontaminate, line_dedup, ngram_join, passages
+from . import decontaminate, line_dedup, ngram_join, passages, quality
 
-MODULES = (decontaminate, line_dedup, ngram_join, passages)
+MODULES = (decontaminate, quality, line_dedup, ngram_join, passages)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
