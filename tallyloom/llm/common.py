@@ -51,22 +51,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class WordHash(dict):
-    """Word (bytes) -> unsigned 64-bit hash, remembered per task; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def word_hashes(text: str | None, seen: WordHash) -> np.ndarray:
+def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words `[^\\x20\\x09-\\x0D]+` of a text, A-Z lower-cased (bytes.lower and bytes.split do just that)."""
+    from xxhash import xxh3_64_intdigest
+
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 #: Odd multipliers for the words of a shingle.

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, WordHash, cut, joined, mix, partitions, shingles, split_by, word_hashes
+from .common import MULT, cut, joined, mix, partitions, shingles, split_by, word_hashes
 from .components import components
 
 SMALL = 8
@@ -99,11 +99,10 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     """(_id, n, sig, sketch) of the distinct shingles of `docs` (_id, _text); sig names the set."""
 
     def run(batches):
-        seen = WordHash()
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["_id"], pdf["_text"]):
-                grams = np.unique(shingles(word_hashes(text, seen), n))
+                grams = np.unique(shingles(word_hashes(text), n))
                 if len(grams):
                     sig = mix(grams[:1] * MULT[0] + np.bitwise_xor.reduce(mix(grams)))[0], np.add.reduce(mix(grams + MULT[1]))
                     rows.append((i, len(grams), np.array(sig, np.uint64).tobytes(), bit_sketch(grams, band_of(len(grams)))))
@@ -127,10 +126,10 @@ def _send(docs: DataFrame, n: int, similarity: int, shards: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["shard", "keys", "ids", "sizes", "many"])
 
     def run(batches):
-        seen, ids, sizes, counts, keys, total = WordHash(), [], [], [], [], 0
+        ids, sizes, counts, keys, total = [], [], [], [], 0
         for pdf in batches:
             for i, text in zip(pdf["_id"], pdf["_text"]):
-                grams = np.unique(shingles(word_hashes(text, seen), n))
+                grams = np.unique(shingles(word_hashes(text), n))
                 if not len(grams):
                     continue
                 own = np.concatenate([first_blocks(grams, band, d) for band, d in homes(len(grams), similarity)])
@@ -183,13 +182,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFr
     """The pairs (a, b) whose whole shingle sets are similar enough."""
 
     def run(batches):
-        seen = WordHash()
         for pdf in batches:
             keep, last = [], (None, None)
             for a, x, y in zip(pdf["a"], pdf["x"], pdf["y"]):
                 if last[0] != a:
-                    last = a, np.unique(shingles(word_hashes(x, seen), n))
-                own = np.unique(shingles(word_hashes(y, seen), n))
+                    last = a, np.unique(shingles(word_hashes(x), n))
+                own = np.unique(shingles(word_hashes(y), n))
                 both = len(np.intersect1d(last[1], own, assume_unique=True))
                 keep.append(100 * both >= similarity * (len(last[1]) + len(own) - both))
             yield pdf.loc[keep, ["a", "b"]]
