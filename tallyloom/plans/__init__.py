@@ -1,0 +1,4 @@
+"""The registered queries, by letter of the operator inventory."""
+
+from . import windows  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
