@@ -1,4 +1,4 @@
 """The registered queries, by letter of the operator inventory."""
 
-from . import expressions, windows  # noqa: F401
+from . import expressions, joins, metrics, windows  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
