@@ -14,8 +14,8 @@ Sets A and B with Jaccard similarity of at least t differ in at most d = (1 - t)
 
 Crowded blocks: up to SMALL members are paired directly.  A larger block links its members to one pivot first, and
 components are taken; only blocks that then still hold more than one component are looked at again, in tiles of TILE
-members, where bit sketches of members of different components are compared, and only pairs within the Hamming bound leave
-the task.  Copies with the same set count as one.  No link between different sets is lost, and no group is expanded.
+members (blocks with the same members once), where bit sketches of members of different components are compared, and only
+pairs within the Hamming bound leave the task.  Copies with the same set count as one.  No link between different sets is lost, and no group is expanded.
 
 Defined cases: null or word-less texts have the empty set and no links; fewer than n words make one shingle; a null id is
 left out of linking and returned with a null component; rows repeating an id are one document with the union of links.
@@ -168,8 +168,9 @@ def _meet(similarity: int):
         a, b = np.minimum(ids[left], ids[right])[fit], np.maximum(ids[left], ids[right])[fit]
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         more = int(crowded.sum())
+        members = np.repeat(np.add.reduceat(mix(ids.astype(np.uint64)), start) if len(keys) else keys, length)  # blocks of the same members count once
         return pd.DataFrame({
-            "key": np.r_[np.zeros(len(pairs), np.int64), keys[crowded].view(np.int64)],
+            "key": np.r_[np.zeros(len(pairs), np.int64), members[crowded].view(np.int64)],
             "a": np.r_[pairs[:, 0], ids[crowded]],
             "b": np.r_[pairs[:, 1], ids[crowded]],
             "crowded": np.r_[np.zeros(len(pairs), bool), np.ones(more, bool)],
@@ -210,20 +211,26 @@ def _within(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def _tiles(similarity: int):
-    def run(key, pdf):
-        _, p, q = key
-        n = pdf["n"].to_numpy()
-        words = min(len(s) for s in pdf["sketch"]) // 8
-        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in pdf["sketch"]])
-        ids, comp, tile = pdf["_id"].to_numpy(), pdf["component"].to_numpy(), pdf["tile"].to_numpy()
-        one, two = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-        out = []
-        for i in one:
-            near = two[(comp[two] != comp[i]) & (100 * np.minimum(n[two], n[i]) >= similarity * np.maximum(n[two], n[i]))]
-            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1) <= (n[near] + n[i]) * (100 - similarity) // (100 + similarity)]
-            out.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
+    """Pairs across components within the Hamming bound, from the tile pairs (key, p, q) of one bin."""
+
+    def one_tile(part):
+        size = part["sketch"].str.len()
+        words = int(size.min()) // 8
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in part["sketch"]])
+        n, ids, comp, tile = (part[c].to_numpy() for c in ("n", "_id", "component", "tile"))
+        one, two = np.flatnonzero(tile == part["p"].iat[0]), np.flatnonzero(tile == part["q"].iat[0])
+        step = max(1, 4_000_000 // (max(len(two), 1) * words))
+        for at in range(0, len(one), step):
+            x, y = one[at : at + step, None], two[None, :]
+            fit = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]))
+            i, j = np.nonzero(fit)
+            i, j = one[at + i], two[j]
+            near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= (n[i] + n[j]) * (100 - similarity) // (100 + similarity)
+            yield np.stack([np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near]], axis=1)
+
+    def run(pdf):
+        out = [np.unique(pairs, axis=0) for _, part in pdf.groupby(["key", "p", "q"], sort=False) for pairs in one_tile(part)]
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     return run
 
@@ -256,8 +263,10 @@ def similar_links(docs: DataFrame, n: int = 5, similarity: int = 75, id_col: str
     open_keys = crowd.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     crowd = crowd.join(open_keys.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("_id"), F.col("tiles")).cast("int"))
     crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    crowd = crowd.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "_id", "component").join(reps, "_id")
-    more = crowd.groupBy("key", "p", "q").applyInPandas(_tiles(similarity), "a long, b long").distinct()
+    crowd = crowd.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "_id", "component")
+    rows = crowd.count()
+    crowd = crowd.withColumn("bin", F.pmod(F.xxhash64("key", "p", "q"), F.lit(max(partitions(spark), rows // TILE // 4))))
+    more = crowd.join(reps, "_id").groupBy("bin").applyInPandas(_tiles(similarity), "a long, b long").distinct()
     return named, cut(links.unionByName(verify(cut(more), slim, n, similarity)))
 
 
