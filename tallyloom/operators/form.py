@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-TEAM = W.partitionBy("team").orderBy("date", "match_id")
-PAIR = W.partitionBy("lo", "hi").orderBy("date", "match_id")
 
+def by_team():
+    return W.partitionBy("team").orderBy("date", "match_id")
 
-def before(c: Column | str, n: int, spec=TEAM, prior: float | None = None) -> Column:
+
+def by_pair():
+    return W.partitionBy("lo", "hi").orderBy("date", "match_id")
+
+
+def before(c: Column | str, n: int, spec=None, prior: float | None = None) -> Column:
     """Mean over the n rows before this one; what there is of them; the prior (or null) when there is none."""
-    mean = F.avg(c).over(spec.rowsBetween(-n, -1))
+    mean = F.avg(c).over((spec or by_team()).rowsBetween(-n, -1))
     return mean if prior is None else F.coalesce(mean, F.lit(prior))
 
 
@@ -22,14 +27,14 @@ def rolling_form(tm: DataFrame, goals_prior: float = 1.3, form_prior: float = 0.
 
 
 def rest_days(tm: DataFrame, unseen: int = 7, cap: int = 60) -> DataFrame:
-    days = F.datediff("date", F.lag("date").over(TEAM))
+    days = F.datediff("date", F.lag("date").over(by_team()))
     return tm.select("team", "match_id", F.least(F.coalesce(days, F.lit(unseen)), F.lit(cap)).alias("rest"))
 
 
 def head_to_head(m: DataFrame, home_view: bool = False, prior: float = 0.5) -> DataFrame:
     """Mean of earlier results of the pair, seen from the smaller key; from the home side only if asked."""
     pair = m.select("match_id", "date", "home", F.least("home", "away").alias("lo"), F.greatest("home", "away").alias("hi"), F.when(F.col("hg") == F.col("ag"), 0.5).when((F.col("hg") > F.col("ag")) == (F.col("home") < F.col("away")), 1.0).otherwise(0.0).alias("score"))
-    mean = F.coalesce(F.avg("score").over(PAIR.rowsBetween(W.unboundedPreceding, -1)), F.lit(prior))
+    mean = F.coalesce(F.avg("score").over(by_pair().rowsBetween(W.unboundedPreceding, -1)), F.lit(prior))
     return pair.select("match_id", (F.when(F.col("home") == F.col("lo"), mean).otherwise(1 - mean) if home_view else mean).alias("h2h"))
 
 
@@ -58,7 +63,7 @@ def referee_form(m: DataFrame, n: int = 40) -> DataFrame:
 
 def trend(n: int) -> Column:
     """Change of the rating after a match over the last n matches (n - 1 steps); 0 with fewer."""
-    return F.coalesce(F.lag("elo", 1).over(TEAM) - F.lag("elo", n).over(TEAM), F.lit(0.0))
+    return F.coalesce(F.lag("elo", 1).over(by_team()) - F.lag("elo", n).over(by_team()), F.lit(0.0))
 
 
 def group_totals(moves: DataFrame) -> DataFrame:

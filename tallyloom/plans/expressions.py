@@ -76,13 +76,14 @@ def result_labels(spark, d):
     return matches(spark, d).select("match_id", odds.result(F.col("hg"), F.col("ag")).alias("result"), (F.col("hg") + F.col("ag") > 2.5).cast("int").alias("over25"), (F.col("hg") + F.col("ag")).alias("total"))
 
 
-COMPETITION = F.element_at(F.array(*map(F.lit, ("World Cup", "World Cup qualification", "Euro qualifier", "UEFA Euro", "Nations League", "Friendly", "Other Cup"))), (F.col("match_id") % 7 + 1).cast("int"))
+def competition():
+    return F.element_at(F.array(*map(F.lit, ("World Cup", "World Cup qualification", "Euro qualifier", "UEFA Euro", "Nations League", "Friendly", "Other Cup"))), (F.col("match_id") % 7 + 1).cast("int"))
 COMPETITION_SQL = "['World Cup', 'World Cup qualification', 'Euro qualifier', 'UEFA Euro', 'Nations League', 'Friendly', 'Other Cup'][match_id % 7 + 1]"
 
 
 @query("b7_tournament_weight", M_SQL + f"SELECT match_id, {COMPETITION_SQL} AS competition, [55, 35, 35, 45, 45, 18, 30][match_id % 7 + 1] AS k FROM m")
 def tournament_weight(spark, d):
-    return matches(spark, d).select("match_id", COMPETITION.alias("competition")).withColumn("k", odds.tournament_k(F.col("competition")))
+    return matches(spark, d).select("match_id", competition().alias("competition")).withColumn("k", odds.tournament_k(F.col("competition")))
 
 
 @query("b8_division_weight", M_SQL + "SELECT match_id, CASE WHEN div IN (0, 3, 6, 9, 12) THEN 22 ELSE 20 END AS k FROM m")
@@ -92,12 +93,13 @@ def division_weight(spark, d):
     return matches(spark, d).select("match_id", k_of_division().alias("k"))
 
 
-STAGE = F.element_at(F.array(*map(F.lit, ("World Cup Final", "World Cup SF", "World Cup QF", "World Cup R16", "World Cup Group", "Cup"))), (F.col("match_id") % 6 + 1).cast("int"))
+def stage():
+    return F.element_at(F.array(*map(F.lit, ("World Cup Final", "World Cup SF", "World Cup QF", "World Cup R16", "World Cup Group", "Cup"))), (F.col("match_id") % 6 + 1).cast("int"))
 
 
 @query("b9_stage_weight", M_SQL + "SELECT match_id, [50, 45, 45, 40, 35, 20][match_id % 6 + 1] AS k FROM m")
 def stage_weight(spark, d):
-    return matches(spark, d).select("match_id", odds.stage_k(STAGE).alias("k"))
+    return matches(spark, d).select("match_id", odds.stage_k(stage()).alias("k"))
 
 
 @query("b10_margin_multiplier", M_SQL + f"SELECT match_id, {r6_sql('CASE WHEN abs(hg - ag) <= 1 THEN 1.0::DOUBLE ELSE ln(abs(hg - ag) + 1) * 0.75 END')} AS margin FROM m")

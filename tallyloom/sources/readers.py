@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.calendar import day_month_year
 
@@ -35,7 +34,7 @@ def rating_periods(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("elo is not null and start is not null and finish is not null")
 
 
-SCOREBOARD = T.StructType.fromDDL(
+SCOREBOARD = (
     "events array<struct<id: string, date: string, competitions: array<struct<status: struct<type: struct<completed: boolean>>, "
     "competitors: array<struct<homeAway: string, score: string, team: struct<displayName: string>, statistics: array<struct<name: string, displayValue: string>>>>>>>>")
 
@@ -54,7 +53,7 @@ def scoreboard_matches(feed: DataFrame, text: str = "body") -> DataFrame:
     return events.select("id", F.to_date(F.substring("date", 1, 10)).alias("date"), h["team"]["displayName"].alias("home"), a["team"]["displayName"].alias("away"), h["score"].try_cast("int").alias("hg"), a["score"].try_cast("int").alias("ag"), stat(h, "shotsOnTarget").alias("hst"), stat(a, "shotsOnTarget").alias("ast"))
 
 
-DAY_FEED = T.StructType.fromDDL("events array<struct<idEvent: string, strHomeTeam: string, strAwayTeam: string, intHomeScore: string, intAwayScore: string, strPostponed: string>>")
+DAY_FEED = "events array<struct<idEvent: string, strHomeTeam: string, strAwayTeam: string, intHomeScore: string, intAwayScore: string, strPostponed: string>>"
 
 
 def day_feed(feed: DataFrame, text: str = "body") -> DataFrame:
@@ -80,7 +79,7 @@ def ranking_rows(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def daily(weather: DataFrame, text: str = "body") -> DataFrame:
     """One row a day from parallel arrays."""
-    schema = T.StructType.fromDDL("time array<string>, temp array<double>, wind array<double>")
+    schema = "time array<string>, temp array<double>, wind array<double>"
     d = weather.select("place", F.from_json(text, schema).alias("d")).select("place", "d.time", "d.temp", "d.wind")
     return d.select("place", F.explode(F.arrays_zip("time", "temp", "wind")).alias("x")).select("place", F.to_date("x.time").alias("date"), "x.temp", "x.wind")
 
