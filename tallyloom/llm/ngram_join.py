@@ -15,7 +15,9 @@ Sets A and B with Jaccard similarity of at least t differ in at most d = (1 - t)
 Crowded blocks: up to SMALL members are paired directly.  A larger block links its members to one pivot first, and
 components are taken; only blocks that then still hold more than one component are looked at again, in tiles of TILE
 members (blocks with the same members once), where bit sketches of members of different components are compared, and only
-pairs within the Hamming bound leave the task.  Copies with the same set count as one.  No link between different sets is lost, and no group is expanded.
+pairs within the Hamming bound leave the task.  Where these are many, as among thousands of near copies, each member first
+gives its nearest one alone; these are verified, components merge, and the rest is looked at again, until all pairs that are
+left can be given.  Copies with the same set count as one.  No link between different sets is lost, and no group is expanded.
 
 Defined cases: null or word-less texts have the empty set and no links; fewer than n words make one shingle; a null id is
 left out of linking and returned with a null component; rows repeating an id are one document with the union of links.
@@ -33,6 +35,7 @@ from .components import components
 
 SMALL = 8
 TILE = 2048
+PAIRS_PER_MEMBER = 4
 WORDS_PER_SHARD = 5_000_000
 FLUSH = 1_000_000
 
@@ -210,31 +213,62 @@ def _within(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return wide.select("a", "b", "n", "m", "p", "q").mapInPandas(run, "a long, b long")
 
 
-def _tiles(similarity: int):
-    """Pairs across components within the Hamming bound, from the tile pairs (key, p, q) of one bin."""
+def _tiles(similarity: int, everything: bool):
+    """From the tile pairs (key, p, q) of one bin: pairs across components within the Hamming bound.
+
+    A tile pair with more than PAIRS_PER_MEMBER pairs a member gives only each member's nearest one, and a row that says so
+    (more), unless `everything` is asked for.
+    """
 
     def one_tile(part):
         size = part["sketch"].str.len()
         words = int(size.min()) // 8
         bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0) for s in part["sketch"]])
         n, ids, comp, tile = (part[c].to_numpy() for c in ("n", "_id", "component", "tile"))
-        one, two = np.flatnonzero(tile == part["p"].iat[0]), np.flatnonzero(tile == part["q"].iat[0])
+        key, p, q = (part[c].iat[0] for c in ("key", "p", "q"))
+        one, two = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
         step = max(1, 4_000_000 // (max(len(two), 1) * words))
+        found, nearest, total = [], [], 0
         for at in range(0, len(one), step):
             x, y = one[at : at + step, None], two[None, :]
             fit = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]))
             i, j = np.nonzero(fit)
             i, j = one[at + i], two[j]
-            near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= (n[i] + n[j]) * (100 - similarity) // (100 + similarity)
-            yield np.stack([np.minimum(ids[i], ids[j])[near], np.maximum(ids[i], ids[j])[near]], axis=1)
+            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1)
+            near = apart <= (n[i] + n[j]) * (100 - similarity) // (100 + similarity)
+            i, j, apart = i[near], j[near], apart[near]
+            total += len(i)
+            if len(i):
+                order = np.lexsort((j, apart, i))
+                first = order[np.r_[True, np.diff(i[order]) != 0]]
+                nearest.append((i[first], j[first]))
+            if everything or total <= PAIRS_PER_MEMBER * (len(one) + len(two)):
+                found.append((i, j))
+        more = not everything and total > PAIRS_PER_MEMBER * (len(one) + len(two))
+        for i, j in nearest if more else found:
+            yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "key": key, "p": p, "q": q, "more": False})
+        if more:
+            yield pd.DataFrame({"a": [0], "b": [0], "key": [key], "p": [p], "q": [q], "more": [True]})
 
     def run(pdf):
-        out = [np.unique(pairs, axis=0) for _, part in pdf.groupby(["key", "p", "q"], sort=False) for pairs in one_tile(part)]
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+        out = [frame for _, part in pdf.groupby(["key", "p", "q"], sort=False) for frame in one_tile(part)]
+        out = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "key": [], "p": [], "q": [], "more": []})
+        return out.drop_duplicates(["a", "b", "more"]) if not out["more"].any() else out.drop_duplicates()
 
     return run
 
 
+def _across(crowd: DataFrame, label: DataFrame, reps: DataFrame, similarity: int, everything: bool) -> DataFrame:
+    """(a, b, key, p, q, more) from the members (key, p, q, tile, _id) of tile pairs that hold more than one component."""
+    tiles = ["key", "p", "q"]
+    rows = crowd.join(label.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+    open_ = rows.groupBy(*tiles).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select(*tiles)
+    rows = cut(rows.join(open_, tiles, "left_semi"))
+    bins = max(partitions(crowd.sparkSession), rows.count() // TILE // 4)
+    rows = rows.join(reps, "_id").withColumn("bin", F.pmod(F.xxhash64(*tiles), F.lit(bins)))
+    return cut(rows.groupBy("bin").applyInPandas(_tiles(similarity, everything), "a long, b long, key long, p int, q int, more boolean"))
+
+
 def similar_links(docs: DataFrame, n: int = 5, similarity: int = 75, id_col: str = "doc_id", text_col: str = "text"):
     """(sets, links): (_id, n, rep) for every document with an id, and verified links (a, b) between representatives.
 
@@ -254,20 +288,29 @@ def similar_links(docs: DataFrame, n: int = 5, similarity: int = 75, id_col: str
     rep_of = named.where("n > 0").select("_id", "rep").distinct()
     pairs = met.where("not crowded").select("a", "b").distinct()
     pairs = pairs.join(rep_of.withColumnsRenamed({"_id": "a", "rep": "ra"}), "a").join(rep_of.withColumnsRenamed({"_id": "b", "rep": "rb"}), "b")
-    pairs = pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    pairs = cut(pairs.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     links = cut(verify(cut(_within(pairs, reps, similarity)), slim, n, similarity))
 
     crowd = met.where("crowded").select("key", F.col("a").alias("_id")).join(rep_of, "_id").select("key", F.col("rep").alias("_id")).distinct()
     label = components(links)
-    crowd = crowd.join(label.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    open_keys = crowd.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    crowd = crowd.join(open_keys.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("_id"), F.col("tiles")).cast("int"))
+    sizes = crowd.join(label.withColumnRenamed("id", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    crowd = crowd.join(sizes.select("key", F.ceil(F.col("members") / TILE).cast("int").alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("_id"), F.col("tiles")).cast("int"))
     crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    crowd = crowd.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "_id", "component")
-    rows = crowd.count()
-    crowd = crowd.withColumn("bin", F.pmod(F.xxhash64("key", "p", "q"), F.lit(max(partitions(spark), rows // TILE // 4))))
-    more = crowd.join(reps, "_id").groupBy("bin").applyInPandas(_tiles(similarity), "a long, b long").distinct()
-    return named, cut(links.unionByName(verify(cut(more), slim, n, similarity)))
+    crowd = cut(crowd.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "_id"))
+    tested = pairs.select("a", "b")
+    everything = False
+    while True:
+        found = _across(crowd, label, reps, similarity, everything)
+        more = cut(found.where("not more").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        new = cut(verify(more, slim, n, similarity))
+        links = cut(links.unionByName(new))
+        left = found.where("more").select("key", "p", "q").distinct()
+        if everything or not left.limit(1).count():
+            return named, links
+        everything = not new.limit(1).count()  # nearest pairs lead no further: look at all that are left
+        tested, label = cut(tested.unionByName(more)), components(links)
+        crowd = cut(crowd.join(left, ["key", "p", "q"], "left_semi"))
 
 
 def similar_components(docs: DataFrame, n: int = 5, similarity: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
