@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SAMPLE = 240
 EPOCHS = 6
 #: Elements that begin and end blocks, that hold no text of the page, and that never close.
@@ -254,10 +256,14 @@ def variants(html: str, seed: int):
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Chain:
     """A chain trained on at most `sample` pages, which come to the driver."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col, F.length(html_col)).alias("h"), F.col(html_col).alias("html")).orderBy("h", "html").limit(sample).collect()
+    h = F.xxhash64(id_col)
+    chosen = cut(pages.where(F.col(html_col).isNotNull()).select(h.alias("_h")).orderBy("_h").limit(sample))  # keys alone are sorted
+    chosen = F.broadcast(chosen.distinct())  # `sample` numbers at most
+    rows = pages.where(F.col(html_col).isNotNull()).select(h.alias("_h"), F.col(html_col).alias("html")).join(chosen, "_h").limit(sample).collect()
+    rows = sorted((r["_h"], r["html"]) for r in rows)
     shown = []
-    for row in rows:
-        for html in variants(row["html"], row["h"] & 0xFFFFFFFF):
+    for key, page in rows:
+        for html in variants(page, key & 0xFFFFFFFF):
             found = blocks(html)
             labels = [marked(p) for p, _, _ in found]
             if any(labels):

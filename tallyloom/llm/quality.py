@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Evidence({}, totals["n"], {t: totals[t] or 0 for t in TARGETS})
     counts = known.mapInPandas(count, "feature string, n long, toxic long, low long").groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "low")])
     lift = F.greatest(*[(F.col(t) - F.col("n") * F.lit(model.rates.get(t, 1.0))) / F.sqrt(F.col("n") + F.lit(SHRINK)) for t in TARGETS])
-    top = counts.where("n > 1").withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(limit)  # the model's fixed size
+    top = counts.where("n > 1").withColumn("lift", lift).orderBy(F.desc("lift"), "feature").limit(limit)
+    top = cut(top)  # the model's fixed size; a checkpoint first, as a collected sort would send every task's candidates to the driver
     model.counts = {r["feature"]: (r["n"], r["toxic"], r["low"]) for r in top.collect()}
     shared = spark.sparkContext.broadcast(model)
 
