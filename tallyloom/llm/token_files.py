@@ -17,7 +17,7 @@ row of the manifest, which is checkpointed; a lost executor costs only its unfin
 pyarrow's file systems, so the folder can be any address that those know.
 
 Encoding: no token of a byte-level tokenizer goes across a single space between two other characters, so texts are encoded
-in pieces cut before such spaces; those that a worker has not seen yet are encoded in one call.
+in pieces cut before such spaces, each distinct piece once a worker.
 
 Defined cases: a null text is an empty one, which has the end id alone; a null id sorts first and is read as null; equal ids
 follow each other in the order of their texts; no documents make no files or empty ones.
@@ -30,7 +30,6 @@ import os
 import re
 import struct
 import uuid
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -47,52 +46,29 @@ END_ID = 0
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 WHITE_PAIR = re.compile(r"\s\s")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-PIECES = 800_000
+PIECES = 400_000
 
 
 class Encoder(dict):
-    """Piece of text after a space -> the ids of both as bytes, by the tokenizers library."""
+    """Piece of text -> its ids as bytes, by the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        plain = [(k, t.content) for k, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.stops = {c: self.whole(c) for c in ".,"}
-        self.mark = plain[0] if plain else (0, "")
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.whole(" " + piece)
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces in one call, with a special token of the tokenizer between them, at which their ids are cut."""
-        mark, text = self.mark
-        new = {p for p in set(pieces).difference(self) if text not in p} if text else set()
-        stopped = [p for p in new if p[-1:] in (".", ",") and p[:-1].isalpha()]  # a stop after letters is a token's begin
-        new = list((new.difference(stopped) | {p[:-1] for p in stopped}).difference(self))
-        if len(new) < 2:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + f"{text} ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(ids == mark)
-        if len(cuts) != len(new) - 1:
-            return
-        raw, begin, end = ids.tobytes(), (4 * np.r_[-1, cuts] + 4).tolist(), (4 * np.r_[cuts, len(ids)]).tolist()
-        self.update(zip(new, [raw[a:b] for a, b in zip(begin, end)]))
-        self.update((p, self[p[:-1]] + self.stops[p[-1]]) for p in stopped)
-
-    def encode_all(self, texts) -> list[bytes]:
-        """The ids of each text.  Pieces are kept without the space that begins all but a text's first."""
         if len(self) >= PIECES:
             self.clear()
-        parts = [LONE_SPACE.split(text) if WHITE_PAIR.search(text) else text.split(" ") for text in texts]
-        firsts = [self.whole(p.pop(0)) for p in parts]
-        self.learn(list(chain.from_iterable(parts)))
-        return [first + b"".join(map(self.__getitem__, p)) for first, p in zip(firsts, parts)]
+        self[piece] = ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
+        first, *rest = LONE_SPACE.split(text) if WHITE_PAIR.search(text) else text.split(" ")
+        return self[first] + b"".join([self[" " + x] for x in rest])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -192,18 +168,6 @@ def _open(path: str, write: bool = False):
     return system.open_input_file(inner)
 
 
-def _runs(texts: pd.Series, chars: int = 500_000):
-    """Slices of neighbouring texts of about `chars` characters."""
-    start = held = 0
-    for k, n in enumerate(texts.str.len()):
-        held += n
-        if held >= chars:
-            yield slice(start, k + 1)
-            start, held = k + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encodes and writes all documents; the checkpointed manifest (part, path, n_docs, n_tokens, start) in order of parts."""
     spark = docs.sparkSession
@@ -220,13 +184,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "do
         out = writer = None
         total = 0
         for pdf in batches:
-            if writer is None:
-                out = _open(path, write=True)
-                writer = TokenFileWriter(out)
-            for own in _runs(pdf["_text"]):
-                for i, ids in zip(pdf["_id"].iloc[own], encoder(tokenizer).encode_all(pdf["_text"].iloc[own])):
-                    writer.add(int(i), ids + end)
-                    total += len(ids) // 4 + 1
+            for i, text in zip(pdf["_id"], pdf["_text"]):
+                if writer is None:
+                    out = _open(path, write=True)
+                    writer = TokenFileWriter(out)
+                ids = encoder(tokenizer).encode(text) + end
+                writer.add(int(i), ids)
+                total += len(ids) // 4
         if writer is not None:
             writer.close()
             out.close()
