@@ -43,7 +43,7 @@ class ImpactBlock:
         edges = step[:, None] * np.arange(LEVELS, -1, -1)  # falling; the last is zero
         falling = np.abs(self.values)
         self.cuts = np.stack([np.searchsorted(-falling[d], -edges[d], side="right") for d in range(dims)]) if dims else np.zeros((0, LEVELS + 1), np.int64)
-        self.cuts[:, -1] = n
+        self.cuts[:, 0], self.cuts[:, -1] = 0, n  # the largest value may equal the first edge
         self.edges = edges
 
     def search(self, own: int, query: np.ndarray, k: int):
