@@ -77,7 +77,7 @@ def cards_ablation(spark, d):
 
 @query("j6_time_fold_search")
 def time_fold_search(spark, d):
-    found = models.tuned(frame(spark, d).where("div < 6"), models.BASE, [0.001, 0.1], k=2)
+    found = models.tuned(frame(spark, d), models.BASE, [0.001, 0.1], k=4)
     return rounded(found.groupBy("penalty").agg(F.count("*").alias("folds"), F.avg("logloss").alias("logloss")))
 
 
@@ -107,7 +107,7 @@ def published(train, test):
 
 @query("j8_batch_scoring")
 def batch_scoring(spark, d):
-    train, test = models.split(frame(spark, d).where("div < 4"))
+    train, test = models.split(frame(spark, d))
     return rounded(published(train, test).select("match_id", "ph", "pd", "pa", "lam", "mu", "over25", "score", "double_chance", "confidence"))
 
 
@@ -137,7 +137,7 @@ def odds_study(spark, d):
 @query("j11_track_record")
 def track_record(spark, d):
     """The last matches scored, graded and summed up."""
-    train, test = models.split(frame(spark, d).where("div < 4"))
+    train, test = models.split(frame(spark, d))
     p = published(train, test)
     own = F.when(F.col("label") == 0, F.col("ph")).when(F.col("label") == 1, F.col("pd")).otherwise(F.col("pa"))
     pick = F.when((F.col("ph") >= F.col("pd")) & (F.col("ph") >= F.col("pa")), 0.0).when(F.col("pd") >= F.col("pa"), 1.0).otherwise(2.0)
