@@ -26,13 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise `df` in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed column table; for texts, of which later steps read only some columns."""
+    It is written as a table and read again, not checkpointed: a checkpointed frame keeps the constraints that Spark derived
+    for its columns, and over the rounds of a loop these multiply until planning takes minutes and the driver's whole heap.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
