@@ -5,8 +5,9 @@
 2. Each shard numbers its distinct keys with a minimal perfect hash and lays out arrays by that number: a 16-bit
    fingerprint, a count, and for repeated keys the smallest document.  The index is checkpointed.
 3. Documents probe these arrays: probes travel, packed, to the shard that holds their part of the index, and what comes
-   back is, for each document, the keys it loses.  A key found in more than 1/HEAVY of all lines would fill its shard
-   with probes; there are fewer than HEAVY such keys, so they go to the tasks by a broadcast of at most HEAVY entries.
+   back is, for each document, the keys it loses.  A key that `heavy_from` documents or more hold would fill its shard with
+   probes: such keys alone go to the tasks by a broadcast.  There are fewer than HEAVY of them, as `heavy_from` is raised to
+   1/HEAVY of all lines where that is more.
 4. Documents are joined with what they lose and rewritten.
 
 Defined cases: a null or empty text is one empty line; a null id takes no part and loses nothing; rows that repeat an id
@@ -28,6 +29,8 @@ SPACE = b" \t\n\v\f\r"
 #: Most keys that are broadcast.
 HEAVY = 20_000
 LINES_PER_SHARD = 100_000
+#: Documents that hold a key from which on it is broadcast: as many probes as a shard has lines.
+HEAVY_FROM = 100_000
 #: Stands for a null id inside pandas, which would turn a column with nulls into floats.
 NO_ID = -(2**63)
 FLUSH = 1_000_000
@@ -104,14 +107,14 @@ def line_index(docs: DataFrame, shards: int, heavy_from: int, min_chars: int) ->
     return sent.groupBy("shard").applyInPandas(lay_out, "shard int, mph binary, prints binary, counts binary, firsts binary, heavy_keys binary, heavy_firsts binary")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, heavy_from: int = HEAVY_FROM) -> DataFrame:
     """`docs` with repeated lines gone from all but the smallest document, and n_lines and n_dropped."""
     spark = docs.sparkSession
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     text = F.coalesce("_text", F.lit(""))
     lines = slim.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     shards = max(partitions(spark), -(-lines // LINES_PER_SHARD))
-    heavy_from = max(2, lines // HEAVY + 1)
+    heavy_from = max(2, heavy_from, lines // HEAVY + 1)
     index = cut(line_index(slim, shards, heavy_from, min_chars))
     heavy: dict[bytes, int] = {}
     for row in index.where(F.length("heavy_keys") > 0).select("heavy_keys", "heavy_firsts").toLocalIterator():

@@ -111,7 +111,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
     index = cut(_packed(rows, blocks, dims)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     asked = cut(_packed(asked, query_blocks, dims)).select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    pairs = index.join(asked, "q").repartition(min(blocks * query_blocks, 100_000), "block", "q")
+    # both sides are dealt by (block, q), so no task gets more than its own pairs of blocks
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = index.join(asked, ["block", "q"])
 
     def run(batches):
         for pdf in batches:

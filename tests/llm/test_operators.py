@@ -68,8 +68,9 @@ def test_line_dedup(spark):
         kept = [y for y in x if i is None or len(holders[key(y)]) < 2 or min(holders[key(y)]) == i]
         want.append((str(i), "\n".join(kept), len(x), len(x) - len(kept), "s"))
     df = spark.createDataFrame(docs, DOCS).withColumns({"n_lines": F.lit("clash"), "shard": F.lit("s")})
-    got = [(str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"], r["shard"]) for r in dedup_lines(df).collect()]
-    assert sorted(got) == sorted(want)
+    for heavy_from in (100_000, 3, 2):  # all keys by the perfect hash; common ones, and all, by the broadcast
+        got = [(str(r["doc_id"]), r["text"], r["n_lines"], r["n_dropped"], r["shard"]) for r in dedup_lines(df, heavy_from=heavy_from).collect()]
+        assert sorted(got) == sorted(want)
     assert dedup_lines(df.limit(0)).count() == 0
 
 
