@@ -17,7 +17,8 @@ row of the manifest, which is checkpointed; a lost executor costs only its unfin
 pyarrow's file systems, so the folder can be any address that those know.
 
 Encoding: no token of a byte-level tokenizer goes across a single space between two other characters, so texts are encoded
-in pieces cut before such spaces, each distinct piece once a worker.
+in pieces cut before such spaces, each distinct piece once a worker.  A piece of letters and closing punctuation is one
+pre-token or two, so it goes straight to the tokenizer's model; all others go through its whole chain.
 
 Defined cases: a null text is an empty one, which has the end id alone; a null id sorts first and is read as null; equal ids
 follow each other in the order of their texts; no documents make no files or empty ones.
@@ -28,8 +29,10 @@ from __future__ import annotations
 import io
 import os
 import re
+import string
 import struct
 import uuid
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -49,6 +52,17 @@ LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 PIECES = 400_000
 
 
+def byte_chars() -> dict[int, int]:
+    """The printable character by which a byte-level vocabulary writes each byte: itself, or the next free one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + k for k, b in enumerate(hidden)}
+
+
+BYTE_CHARS = byte_chars()
+SPACE_CHAR = chr(BYTE_CHARS[32])
+
+
 class Encoder(dict):
     """Piece of text -> its ids as bytes, by the tokenizers library."""
 
@@ -56,12 +70,27 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.model = t.model
+        chain = repr(t.pre_tokenizer).replace(" ", "")
+        # letters stay together under this pre-tokenizer alone, and where no added token can lie within them
+        self.direct = chain.startswith("ByteLevel(") and "use_regex=True" in chain and "add_prefix_space=False" in chain and t.normalizer is None and not any(x.content.strip().isalpha() for x in t.get_added_tokens_decoder().values())
+
+    def _chain(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= PIECES:
             self.clear()
-        self[piece] = ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+        word = piece.rstrip(string.punctuation)
+        if self.direct and word.removeprefix(" ").isalpha():
+            shown = word.replace(" ", SPACE_CHAR) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+            if len(word) < len(piece):
+                ids += self[piece[len(word) :]]
+        else:
+            ids = array("I", self._chain(piece)).tobytes()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
