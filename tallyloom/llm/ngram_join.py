@@ -308,7 +308,8 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, apart: np.ndarray, group: np.n
 def _tiles(similarity: int, everything: bool):
     """From the tile pairs (key, p, q) of one bin: pairs across components within the Hamming bound.
 
-    They are a spanning forest, and a row that says so (more) where others are left, unless `everything` is asked for.
+    They are a spanning forest, and a row that says so (more) where others are left, unless `everything` is asked for: then a
+    pair that shares several blocks (`keys` of its members) is given by the first of them alone.
     """
 
     def one_tile(part):
@@ -338,6 +339,10 @@ def _tiles(similarity: int, everything: bool):
             more |= len(best) < len(held[0])
             held = tuple(z[best] for z in held)
         i, j, _ = held
+        if everything and len(i):
+            keys = [frozenset(x) for x in part["keys"]]
+            first = np.array([min(keys[x] & keys[y]) == key for x, y in zip(i.tolist(), j.tolist())])
+            i, j = i[first], j[first]
         yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "key": key, "p": p, "q": q, "more": False})
         if more:
             yield pd.DataFrame({"a": [0], "b": [0], "key": [key], "p": [p], "q": [q], "more": [True]})
@@ -351,6 +356,8 @@ def _tiles(similarity: int, everything: bool):
 def _across(rows: DataFrame, nodes: DataFrame, similarity: int, everything: bool, members: int) -> DataFrame:
     """(a, b, key, p, q, more) from the members (key, p, q, tile, node, component) of tile pairs."""
     bins = max(partitions(rows.sparkSession), members // TILE // 4)
+    if everything:
+        rows = rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
     rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("bin", F.pmod(F.xxhash64("key", "p", "q"), F.lit(bins)))
     return cut(rows.groupBy("bin").applyInPandas(_tiles(similarity, everything), "a long, b long, key long, p int, q int, more boolean"))
 
