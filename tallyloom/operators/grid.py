@@ -25,9 +25,23 @@ def tau(i: int, j: int, lam: Column, mu: Column, rho: Column) -> Column | float:
 
 
 def cells(lam: Column, mu: Column, rho: Column | None = None, size: int = SIZE) -> Column:
-    """Array of (i, j, p), row by row, normalised."""
-    raw = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (poisson(i, lam) * poisson(j, mu) * (tau(i, j, lam, mu, rho) if rho is not None and i < 2 and j < 2 else 1.0)).alias("p")) for i in range(size) for j in range(size)])
-    return F.element_at(F.transform(F.array(raw), lambda g: F.element_at(F.transform(F.array(total(g)), lambda s: F.transform(g, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / s).alias("p")))), 1)), 1)
+    """Array of (i, j, p), row by row, normalised: the outer product of two arrays of `size`, so the plan is as small for any size."""
+    chances = lambda rate: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.exp(-rate + k * F.log(rate)) / F.factorial(k))
+
+    def outer(b):
+        def cell(x, i, y, j):
+            low = F.when((i == 0) & (j == 0), tau(0, 0, b["l"], b["u"], b["r"])).when((i == 0) & (j == 1), tau(0, 1, b["l"], b["u"], b["r"])).when((i == 1) & (j == 0), tau(1, 0, b["l"], b["u"], b["r"])).when((i == 1) & (j == 1), tau(1, 1, b["l"], b["u"], b["r"])).otherwise(1.0)
+            return F.struct(i.alias("i"), j.alias("j"), (x * y * low if rho is not None else x * y).alias("p"))
+
+        return F.flatten(F.transform(b["h"], lambda x, i: F.transform(b["a"], lambda y, j: cell(x, i, y, j))))
+
+    bound = F.struct(chances(lam).alias("h"), chances(mu).alias("a"), lam.alias("l"), mu.alias("u"), (rho if rho is not None else F.lit(0.0)).alias("r"))
+    return bind(bind(bound, outer), lambda g: bind(total(g), lambda s: F.transform(g, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / s).alias("p")))))
+
+
+def bind(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def total(grid: Column, keep=None) -> Column:

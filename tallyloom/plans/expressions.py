@@ -270,9 +270,9 @@ def month_hour(spark, d):
 
 
 @query("h4_ascii_fold", """
-SELECT doc_id, regexp_replace(strip_accents(replace(replace(substr(text, 1, 200), 'ß', 'ss'), 'ø', 'o')), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+SELECT doc_id, regexp_replace(strip_accents(replace(replace(text, 'ß', 'ss'), 'ø', 'o')), '[^\\x00-\\x7F]', '', 'g') AS folded FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
 def ascii_fold(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", names.ascii_fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", names.ascii_fold(F.col("text")).alias("folded"))
 
 
 KEYS_SQL = """
@@ -376,9 +376,9 @@ def score_text(spark, d):
 
 # -- I ------------------------------------------------------------------------------------------------------------------
 
-#: Goal rates, and cells of the grid, of one division.
+#: Goal rates, and cells of the grid, of every match.
 GRID_SQL = P_SQL + """
-, rates AS (SELECT match_id, kh, kd, ka, mh, md, ma, gap, hg, ag, 0.6 + (home % 7) * 0.25::DOUBLE AS lam, 0.5 + (away % 5) * 0.3::DOUBLE AS mu FROM p WHERE div = 3),
+, rates AS (SELECT match_id, kh, kd, ka, mh, md, ma, gap, hg, ag, 0.6 + (home % 7) * 0.25::DOUBLE AS lam, 0.5 + (away % 5) * 0.3::DOUBLE AS mu FROM p),
 raw AS (SELECT r.*, i, j, exp(-lam + i * ln(lam)) / factorial(i::INTEGER) * exp(-mu + j * ln(mu)) / factorial(j::INTEGER) AS q,
   CASE WHEN i = 0 AND j = 0 THEN 1 - lam * mu * -0.05 WHEN i = 0 AND j = 1 THEN 1 + lam * -0.05 WHEN i = 1 AND j = 0 THEN 1 + mu * -0.05 WHEN i = 1 AND j = 1 THEN 1.05 ELSE 1 END::DOUBLE AS t
   FROM rates r, range(9) AS a(i), range(9) AS b(j)),
@@ -390,7 +390,7 @@ proj AS (SELECT *, pp0 / sum(pp0) OVER (PARTITION BY match_id) AS pp FROM proj0)
 
 
 def rated(spark, d):
-    p = probabilities(matches(spark, d).where("div = 3"))
+    p = probabilities(matches(spark, d))
     return p.withColumns({"lam": 0.6 + (F.col("home") % 7) * 0.25, "mu": 0.5 + (F.col("away") % 5) * 0.3})
 
 

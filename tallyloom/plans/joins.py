@@ -45,12 +45,12 @@ def settle_interval(spark, d):
 
 
 @query("c4_settle_by_id", M_SQL + """
-, p AS (SELECT match_id AS id, date, hg, ag FROM m WHERE date >= DATE '2001-05-01'),
+, p AS (SELECT match_id AS id, date, hg, ag FROM m),
 r AS (SELECT id, hg + 1 AS hg, ag, 0 AS rank FROM p WHERE id % 5 = 0 UNION ALL SELECT id, hg, ag, 1 FROM p WHERE id % 2 = 0),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS rn FROM r) WHERE rn = 1)
 SELECT p.id, p.date, b.hg, b.ag, CASE WHEN b.hg IS NOT NULL THEN 'graded' WHEN DATE '2001-07-20' - p.date > 14 THEN 'dropped' ELSE 'pending' END AS status FROM p LEFT JOIN b USING (id)""")
 def settle_by_id(spark, d):
-    p = matches(spark, d).where("date >= '2001-05-01'").select(F.col("match_id").alias("id"), "date", "hg", "ag")
+    p = matches(spark, d).select(F.col("match_id").alias("id"), "date", "hg", "ag")
     manual = p.where("id % 5 = 0").select("id", (F.col("hg") + 1).alias("hg"), "ag")
     return settle.settle_by_id(p.select("id", "date"), manual, p.where("id % 2 = 0").select("id", "hg", "ag"), F.lit("2001-07-20").cast("date"))
 
@@ -146,11 +146,10 @@ def stale_decay(spark, d):
     return rounded(settle.decayed(st, F.lit("2001-09-01").cast("date")))
 
 
-@query("b30_snapshot_guard", M_SQL + "SELECT match_id, CASE WHEN abs(date - DATE '1998-06-15') <= 21 THEN 1400 + home % 100 END AS rating, CASE WHEN abs(date - DATE '1998-06-15') > 21 THEN 'outside the snapshot window' END AS reject_reason FROM m WHERE date BETWEEN DATE '1998-05-01' AND DATE '1998-07-31'")
+@query("b30_snapshot_guard", M_SQL + "SELECT match_id, CASE WHEN abs(date - DATE '1998-06-15') <= 21 THEN 1400 + home % 100 END AS rating, CASE WHEN abs(date - DATE '1998-06-15') > 21 THEN 'outside the snapshot window' END AS reject_reason FROM m")
 def snapshot_guard(spark, d):
     near = F.abs(F.datediff("date", F.lit("1998-06-15").cast("date"))) <= 21
-    m = matches(spark, d).where("date between '1998-05-01' and '1998-07-31'")
-    return m.select("match_id", F.when(near, 1400 + F.col("home") % 100).alias("rating"), F.when(~near, "outside the snapshot window").alias("reject_reason"))
+    return matches(spark, d).select("match_id", F.when(near, 1400 + F.col("home") % 100).alias("rating"), F.when(~near, "outside the snapshot window").alias("reject_reason"))
 
 
 @query("c9_unordered_pairs", M_SQL + "SELECT least(home, away) AS lo, greatest(home, away) AS hi, count(*) AS n, min(date) AS first FROM m GROUP BY 1, 2")
@@ -210,7 +209,7 @@ def region_preference(spark, d):
 
 
 FUZZY_SQL = """
-, f AS (SELECT match_id, date, 'T' || (home % 100) AS hk, 'T' || (away % 100) AS ak, div FROM m WHERE date BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'),
+, f AS (SELECT match_id, date, 'T' || (home % 100) AS hk, 'T' || (away % 100) AS ak, div FROM m),
 h AS (SELECT date, 'T' || (home % 10) AS hk, 'T' || (away % 10) AS ak FROM m WHERE match_id % 5 = 0)
 """
 
@@ -220,15 +219,14 @@ SELECT match_id FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.date = f.date A
 def fuzzy_dedup(spark, d):
     m = matches(spark, d)
     key = lambda c, k: F.concat(F.lit("T"), F.col(c) % k)
-    f = m.where("date between '1999-01-01' and '1999-03-31'").select("match_id", "date", key("home", 100).alias("home_key"), key("away", 100).alias("away_key"))
+    f = m.select("match_id", "date", key("home", 100).alias("home_key"), key("away", 100).alias("away_key"))
     return resolve.not_alike(f, m.where("match_id % 5 = 0").select("date", key("home", 10).alias("home_key"), key("away", 10).alias("away_key"))).select("f.match_id")
 
 
-@query("c15_exact_dedup", M_SQL + "SELECT match_id FROM m f WHERE date >= DATE '2000-01-01' AND NOT EXISTS (SELECT 1 FROM m h WHERE h.match_id % 5 = 0 AND h.date = f.date AND h.home = f.home AND h.away = f.away)")
+@query("c15_exact_dedup", M_SQL + "SELECT match_id FROM m f WHERE NOT EXISTS (SELECT 1 FROM m h WHERE h.match_id % 5 = 0 AND h.date = f.date AND h.home = f.home AND h.away = f.away)")
 def exact_dedup(spark, d):
     m = matches(spark, d)
-    f = m.where("date >= '2000-01-01'")
-    return f.join(m.where("match_id % 5 = 0").select("date", "home", "away"), ["date", "home", "away"], "left_anti").select("match_id")
+    return m.join(m.where("match_id % 5 = 0").select("date", "home", "away"), ["date", "home", "away"], "left_anti").select("match_id")
 
 
 @query("c16_round_robin", f"""
@@ -274,12 +272,12 @@ def covered_only(spark, d):
 
 
 @query("c21_source_fallback", M_SQL + """
-, q AS (SELECT DISTINCT home AS team, date FROM m WHERE date >= DATE '2001-01-01'), h AS (SELECT DISTINCT team, date, 1400 + team % 100 AS v FROM tm WHERE match_id % 2 = 0), s AS (SELECT DISTINCT team, 1300 + team % 100 AS v FROM tm WHERE team % 3 = 0)
+, q AS (SELECT DISTINCT home AS team, date FROM m), h AS (SELECT DISTINCT team, date, 1400 + team % 100 AS v FROM tm WHERE match_id % 2 = 0), s AS (SELECT DISTINCT team, 1300 + team % 100 AS v FROM tm WHERE team % 3 = 0)
 SELECT q.team, q.date, coalesce(h.v, s.v) AS rating, CASE WHEN h.v IS NOT NULL THEN 'history' WHEN s.v IS NOT NULL THEN 'snapshot' END AS source FROM q LEFT JOIN h USING (team, date) LEFT JOIN s ON s.team = q.team""")
 def source_fallback(spark, d):
     m = matches(spark, d)
     tm = team_matches(m)
-    q = m.where("date >= '2001-01-01'").select(F.col("home").alias("team"), "date").distinct()
+    q = m.select(F.col("home").alias("team"), "date").distinct()
     h = tm.where("match_id % 2 = 0").select("team", "date", (1400 + F.col("team") % 100).alias("hv")).distinct()
     s = tm.where("team % 3 = 0").select("team", (1300 + F.col("team") % 100).alias("sv")).distinct()
     return q.join(h, ["team", "date"], "left").join(s, "team", "left").select("team", "date", F.coalesce("hv", "sv").alias("rating"), F.when(F.col("hv").isNotNull(), "history").when(F.col("sv").isNotNull(), "snapshot").alias("source"))

@@ -241,10 +241,10 @@ def chronological(spark, d):
 
 
 @query("f2_slate_order", M_SQL + """
-, s AS (SELECT match_id, date, CASE WHEN match_id % 4 = 0 THEN '' ELSE lpad((12 + match_id % 9)::VARCHAR, 2, '0') || ':00' END AS kickoff, stage FROM m WHERE date BETWEEN DATE '2000-01-01' AND DATE '2000-02-29')
+, s AS (SELECT match_id, date, CASE WHEN match_id % 4 = 0 THEN '' ELSE lpad((12 + match_id % 9)::VARCHAR, 2, '0') || ':00' END AS kickoff, stage FROM m)
 SELECT date, match_id, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN kickoff = '' THEN '99:99' ELSE kickoff END, stage, match_id)::INTEGER AS place FROM s""")
 def slate_order(spark, d):
-    m = matches(spark, d).where("date between '2000-01-01' and '2000-02-29'")
+    m = matches(spark, d)
     kickoff = F.when(F.col("match_id") % 4 == 0, "").otherwise(F.concat(F.lpad((12 + F.col("match_id") % 9).cast("string"), 2, "0"), F.lit(":00")))
     order = W.partitionBy("date").orderBy(F.coalesce(F.nullif(kickoff, F.lit("")), F.lit("99:99")), "stage", "match_id")
     return m.select("date", "match_id", F.row_number().over(order).alias("place"))
