@@ -81,6 +81,12 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order; a sort and a mask, several times as fast as numpy's unique on short arrays."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def split_by(owner: np.ndarray, *columns: np.ndarray):
     """Yields (owner, rows of each column) for each distinct value of `owner`; one stable sort, no loop over rows."""
     order = np.argsort(owner, kind="stable")

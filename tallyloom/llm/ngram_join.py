@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, cut, joined, mix, partitions, shingles, split_by, word_hashes
+from .common import MULT, cut, distinct, joined, mix, partitions, shingles, split_by, word_hashes
 from .components import components, merged
 
 SMALL = 8
@@ -87,7 +87,7 @@ def first_blocks(grams: np.ndarray, band: int, d: int, p: int | None = None, com
     rank = np.minimum.reduceat(common[bucket(grams)], start).astype(np.uint64) if common is not None else np.zeros(len(start), np.uint64)
     block = at[start]
     place = rank << np.uint64(56) | (np.uint64(255) - np.minimum(full, np.uint64(255))) << np.uint64(48) | word >> np.uint64(16)
-    keep = np.argsort(place, kind="stable")[: d + 1]
+    keep = np.argpartition(place, d)[: d + 1] if len(place) > d + 1 else np.arange(len(place))
     block, word = block[keep], word[keep]
     if len(block) <= d:  # empty blocks come last, in the order of their number
         empty = np.setdiff1d(np.arange(p), block)[: d + 1 - len(block)]
@@ -128,7 +128,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
         for pdf in batches:
             rows = []
             for i, text in zip(pdf["_id"], pdf["_text"]):
-                grams = np.unique(shingles(word_hashes(text), n))
+                grams = distinct(shingles(word_hashes(text), n))
                 row += 1
                 if len(grams):
                     held.append(bucket(grams))
@@ -182,7 +182,7 @@ def _send(docs: DataFrame, n: int, similarity: int, shards: int, common) -> Data
         ids, sizes, counts, keys, total, sent = [], [], [], [], 0, set()
         for pdf in batches:
             for text in pdf["_text"]:
-                grams = np.unique(shingles(word_hashes(text), n))
+                grams = distinct(shingles(word_hashes(text), n))
                 if not len(grams):
                     continue
                 name = int.from_bytes(signature(grams)[:8], "little", signed=True)
@@ -250,8 +250,8 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataF
             keep, last, one = [], None, None
             for a, x, p, y, q in zip(pdf["a"], pdf["x"], pdf["p"], pdf["y"], pdf["q"]):
                 if last != (a, x):
-                    last, one = (a, x), np.unique(shingles(word_hashes(x), n))
-                two = np.unique(shingles(word_hashes(y), n))
+                    last, one = (a, x), distinct(shingles(word_hashes(x), n))
+                two = distinct(shingles(word_hashes(y), n))
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 # an id with several texts gives them all: only the one that its node stands for counts
                 keep.append(100 * both >= similarity * (len(one) + len(two) - both) and signature(one) == p and signature(two) == q)
@@ -419,7 +419,8 @@ def similar_links(docs: DataFrame, n: int = 5, similarity: int = 75, id_col: str
     crowd = cut(met.where("crowded").select("key", F.col("a").alias("s0")).distinct().join(node_of, "s0").select("key", "node"))
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowd.select("node")).distinct()
     nodes = cut(nodes.join(used, "node", "left_semi").select("node", "n", "sig", "sketch", "rep"))
-    texts = cut(slim.join(nodes.select("node", "sig", F.col("rep").alias("_id")), "_id").select("node", "sig", "_text"))
+    # nodes grow with the documents: merged with them at every size, never broadcast
+    texts = cut(slim.join(nodes.select("node", "sig", F.col("rep").alias("_id")).hint("merge"), "_id").select("node", "sig", "_text"))
 
     links = cut(verify(pairs, texts, n, similarity))
     label, more = _crowded_links(crowd, nodes, texts, pairs, components(links), n, similarity)
