@@ -253,10 +253,15 @@ def _value(node) -> Callable:
         "or": lambda scope: a(scope) or b(scope),
         "==": lambda scope: a(scope) == b(scope),
         "!=": lambda scope: a(scope) != b(scope),
-        "+": lambda scope: a(scope) + b(scope) if isinstance(a(scope), int) and isinstance(b(scope), int) else str(a(scope)) + str(b(scope)),
+        "+": lambda scope: _sum(a(scope), b(scope)),
     }[kind]
 
 
+def _sum(x, y):
+    """Numbers add up, all else is joined as text; both values are there once, so a chain of n terms costs n."""
+    return x + y if isinstance(x, int) and isinstance(y, int) else str(x) + str(y)
+
+
 def _writer(node, generated: bool = False) -> Callable:
     kind = node[0]
     if kind == "text":
