@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters that do not decompose, and their spelling.
 TRANSLITERATED = {"æ": "ae", "Æ": "Ae", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "Oe", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ı": "i"}
-#: Accented letters above their plain ones.
-ACCENTED = "àáâãäåāăąçćčďèéêëēęěìíîïñńňòóôõöōőŕřśšşťùúûüūůűýÿžźżğ"
-PLAIN___ = "aaaaaaaaacccdeeeeeeeiiiinnnooooooorrssstuuuuuuuyyzzzg"
 #: Tokens that tell what kind of club it is, not which.
 CLUB_TOKENS = ("fc", "sk", "ps", "nfc", "ac", "as", "cf", "cd", "sc", "fk", "nk", "if", "bk", "afc", "sv", "rc", "ud", "sd", "ca", "cs", "kv", "kf", "ks", "pfc")
+#: Tokens that different sources write or leave out.
+LOOSE_TOKENS = (
+    "fc", "afc", "cf", "sc", "ac", "as", "ssc", "us", "cd", "ud", "sd", "rc", "rcd", "ca", "cs", "sv", "vfb", "vfl", "tsg", "fsv", "bsc", "sk", "fk", "kv", "krc",
+    "city", "united", "town", "hotspur", "albion", "athletic", "county", "rovers", "wanderers", "calcio", "club", "de", "del", "la", "le", "1", "04", "05", "1899", "1846", "1909", "1913", "1907")
+#: Tokens trimmed at the start or end of a name; the last of them that fits counts.
+TRIMMED = ("fc", "sk", "fk", "sc", "cf", "ac", "as", "nk", "hnk", "cd", "ca", "ss", "us", "if")
+#: Tokens that never stand for a whole name.
+GENERIC = (
+    "sporting", "real", "city", "united", "town", "club", "athletic", "atletico", "dynamo", "dinamo", "spartak", "lokomotiv", "olympic", "olympique", "racing", "rapid", "sport", "sportiv", "inter",
+    "borussia", "bayer", "fortuna", "victoria", "concordia", "academy", "wanderers", "rovers", "albion", "county", "juniors", "young", "red", "star", "national", "central", "north", "south", "east",
+    "west", "new", "san", "santa", "saint", "st", "deportivo", "universidad", "universitatea")
 #: Words that say nothing about a name.
 STOP_WORDS = ("de", "of", "the", "and")
 
 
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """All characters whose compatibility decomposition has one ASCII character, those characters, and the letters that have more."""
+    one, plain, more = [], [], {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        to = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() if unicodedata.decomposition(c) else ""
+        if len(to) == 1:
+            one.append(c)
+            plain.append(to)
+        elif to and unicodedata.category(c).startswith("L"):
+            more[c] = to
+    return "".join(one), "".join(plain), more
+
+
+ACCENTED, PLAIN, LIGATURES = _decomposed()
+
+
 def ascii_fold(c: Column) -> Column:
-    """Plain letters for accented ones; any other character outside ASCII goes."""
-    for odd, plain in TRANSLITERATED.items():
-        c = F.replace(c, F.lit(odd), F.lit(plain))
-    c = F.translate(c, ACCENTED + ACCENTED.upper().replace("SS", ""), PLAIN___ + PLAIN___.upper())
-    return F.regexp_replace(c, r"[^\x00-\x7F]", "")
+    """Plain letters for accented ones, by Unicode's own decompositions; any other character outside ASCII goes."""
+    folded = c
+    for odd, plain in {**TRANSLITERATED, **LIGATURES}.items():
+        folded = F.replace(folded, F.lit(odd), F.lit(plain))
+    folded = F.regexp_replace(F.translate(folded, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def squash(c: Column) -> Column:
@@ -39,8 +67,8 @@ def core_tokens(c: Column, drop=CLUB_TOKENS) -> Column:
     return F.when(F.size(core) > 0, core).otherwise(tokens(c))
 
 
-def core_key(c: Column) -> Column:
-    return F.array_join(core_tokens(c), "")
+def core_key(c: Column, drop=CLUB_TOKENS) -> Column:
+    return F.array_join(core_tokens(c, drop), "")
 
 
 def sorted_key(c: Column) -> Column:
@@ -51,6 +79,22 @@ def loose_keys(c: Column) -> Column:
     return F.filter(F.array_distinct(F.array(core_key(c), F.array_join(F.array_sort(core_tokens(c)), ""), sorted_key(c))), lambda k: k != "")
 
 
+def candidates(c: Column, alias: Column | None = None) -> Column:
+    """Guesses at the spelling a name has elsewhere, likeliest first, each once: its alias without and with spaces, the
+    folded name likewise, the name without a club token at an end likewise, its last and its first token if they are of four
+    letters or more and not generic."""
+    base = F.trim(F.regexp_replace(ascii_fold(c), "[.']", ""))
+    parts = F.filter(F.split(base, r"\s+"), lambda t: t != "")
+    first, last = (F.try_element_at(parts, F.lit(k)) for k in (1, -1))
+    ends = F.array(F.lower(first), F.lower(last))
+    token = F.try_element_at(F.filter(F.array(*map(F.lit, TRIMMED)), lambda t: F.array_contains(ends, t)), F.lit(-1))
+    short = F.when(token.isNull(), base).otherwise(F.array_join(F.filter(parts, lambda t: F.lower(t) != token), " "))
+    single = F.filter(F.array(last, first), lambda t: (F.length(t) >= 4) & ~F.lower(t).isin(*GENERIC))
+    forms = [x for text in ([] if alias is None else [alias]) + [base, short] for x in (F.replace(text, F.lit(" "), F.lit("")), text)]
+    found = F.concat(F.array(*forms), F.when(F.size(parts) > 1, single).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(found, lambda x: x != ""))
+
+
 def token_set(c: Column, expand: Column | None = None) -> Column:
     """Distinct tokens of two or more letters that are no stop-words; `expand`, a map, spells out abbreviations."""
     out = F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))

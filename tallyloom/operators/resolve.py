@@ -2,42 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import core_key, squash, token_set
+from ..functions.names import LOOSE_TOKENS, core_key, squash, token_set
 from .settle import best_first
 
 
 def by_containment(names: DataFrame, known: DataFrame) -> DataFrame:
     """(name, known_id): known entities (known_id, known_name, peak) whose token set holds the name's or lies in it.
 
-    Pairs come from shared tokens, never from all pairs; the highest peak wins, then the smaller id.
+    The highest peak wins, then the smaller id.  Equal token sets are one row first, with their best entity; different ones
+    meet in the rarest token of the smaller set, which the larger must hold.
     """
-    left = names.select("name", token_set(F.col("name")).alias("t")).where(F.size("t") > 0)
-    right = known.select("known_id", "peak", token_set(F.col("known_name")).alias("u")).where(F.size("u") > 0)
-    pairs = left.select("name", "t", F.explode("t").alias("tok")).join(right.select("known_id", "peak", "u", F.explode("u").alias("tok")), "tok")
-    fit = (F.size(F.array_except("t", "u")) == 0) | (F.size(F.array_except("u", "t")) == 0)
-    return best_first(pairs.where(fit).select("name", "known_id", "peak").distinct(), ["name"], F.desc("peak"), F.col("known_id")).select("name", "known_id")
+    name_sets = names.select("name", token_set(F.col("name")).alias("t")).where(F.size("t") > 0)
+    known_sets = known.select("known_id", "peak", token_set(F.col("known_name")).alias("u")).where(F.size("u") > 0)
+    left = name_sets.select("t").distinct()
+    right = known_sets.groupBy("u").agg(F.min(F.struct((-F.col("peak")).alias("down"), F.col("known_id").alias("id"))).alias("best"))
+    tokens = left.select(F.explode("t").alias("tok")).unionByName(right.select(F.explode("u").alias("tok")))
+    often = tokens.groupBy("tok").agg(F.count("*").alias("n"))
 
+    def rarest(rows: DataFrame, s: str) -> DataFrame:
+        return rows.withColumn("tok", F.explode(s)).join(often, "tok").groupBy(*rows.columns).agg(F.min(F.struct("n", "tok")).alias("r")).select(*rows.columns, F.col("r.tok").alias("tok"))
 
-def _unique(pairs: DataFrame, stage: int) -> DataFrame:
-    """Names with exactly one hit."""
-    return pairs.groupBy("name").agg(F.countDistinct("known_name").alias("n"), F.min("known_name").alias("known_name")).where("n = 1").select("name", "known_name", F.lit(stage).alias("stage"))
+    inside = rarest(left, "t").join(right.withColumn("tok", F.explode("u")), "tok").where(F.size(F.array_except("t", "u")) == 0)
+    around = left.withColumn("tok", F.explode("t")).join(rarest(right, "u"), "tok").where(F.size(F.array_except("u", "t")) == 0)
+    best = inside.select("t", "best").unionByName(around.select("t", "best")).groupBy("t").agg(F.min("best").alias("best"))
+    return name_sets.join(best, "t").select("name", F.col("best.id").alias("known_id"))
 
 
-def unique_or_refuse(names: DataFrame, known: DataFrame, alias: DataFrame | None = None) -> DataFrame:
-    """(name, known_name, stage): alias, then full key, then core key, each only if it fits exactly one known name; else null."""
-    stages = []
+def _grams(c: Column, low: int, high: int) -> Column:
+    """All substrings of low to high characters, each once."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, n))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(c) >= n, of(n)).otherwise(F.array().cast("array<string>")))))
+
+
+ANCHOR = 8
+SHORTEST = 4
+
+
+def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs of core keys (core, known_core), one within the other, known ones of four letters or more.
+
+    They meet in the first eight letters of the inner key, so a join is on equal anchors, never on all pairs.
+    """
+    asked, known = asked.distinct(), known.where(F.length("known_core") >= SHORTEST).distinct()
+    head = lambda c: F.substring(c, 1, ANCHOR)
+    outer = asked.withColumn("a", F.explode(_grams(F.col("core"), SHORTEST, ANCHOR))).join(known.withColumn("a", head("known_core")), "a").where(F.contains("core", "known_core"))
+    inner = asked.withColumn("a", head("core")).join(known.withColumn("a", F.explode(_grams(F.col("known_core"), 1, ANCHOR))), "a").where(F.contains("known_core", "core"))
+    return outer.select("core", "known_core").union(inner.select("core", "known_core")).distinct()
+
+
+def unique_or_refuse(names: DataFrame, known: DataFrame, alias: DataFrame | None = None, drop=LOOSE_TOKENS) -> DataFrame:
+    """(name, known_name, stage): the known name that a name's spellings refer to, or null.
+
+    Stages: alias (alias, known_name), full key, core key without the tokens of `drop`, one core key within the other.  Each
+    of the last three must fit exactly one known name.  Names may carry `spellings`, an array in order; an earlier stage wins,
+    then an earlier spelling.  Null and empty spellings fit nothing.
+    """
+    spellings = F.col("spellings") if "spellings" in names.columns else F.array("name")
+    asked = names.select("name", F.posexplode(spellings).alias("pos", "spelling")).where("spelling is not null")
+    asked = asked.withColumns({"full": squash(F.col("spelling")), "core": core_key(F.col("spelling"), drop)})
+    have = known.select("known_name").where("known_name is not null").distinct()
+    have = have.withColumns({"known_full": squash(F.col("known_name")), "known_core": core_key(F.col("known_name"), drop)})
+
+    def unique(pairs: DataFrame, stage: int) -> DataFrame:
+        hits = pairs.groupBy("name", "pos").agg(F.countDistinct("known_name").alias("n"), F.min("known_name").alias("known_name"))
+        return hits.where("n = 1").select("name", "pos", "known_name", F.lit(stage).alias("stage"))
+
+    full = unique(asked.join(have, F.col("full") == F.col("known_full")).where("full <> ''"), 2)
+    core = unique(asked.join(have, F.col("core") == F.col("known_core")).where("core <> ''"), 3)
+    within = _contained(asked.select("core").where("core <> ''"), have.select("known_core"))
+    found = full.unionByName(core).unionByName(unique(asked.join(within, "core").join(have, "known_core"), 4))
     if alias is not None:
-        stages.append(names.join(alias.select(F.col("alias").alias("name"), "known_name"), "name").join(known, "known_name", "left_semi").select("name", "known_name", F.lit(1).alias("stage")))
-    for stage, key in ((2, squash), (3, core_key)):
-        pairs = names.select("name", key(F.col("name")).alias("k")).join(known.select("known_name", key(F.col("known_name")).alias("k")), "k").where("k <> ''")
-        stages.append(_unique(pairs, stage))
-    found = stages[0]
-    for more in stages[1:]:
-        found = found.unionByName(more)
-    return names.join(best_first(found, ["name"], F.col("stage")), "name", "left")
+        by_alias = asked.join(alias.select(F.col("alias").alias("spelling"), "known_name"), "spelling").join(have, "known_name", "left_semi")
+        found = found.unionByName(by_alias.select("name", "pos", "known_name", F.lit(1).alias("stage")))
+    best = best_first(found, ["name"], F.col("stage"), F.col("pos"), F.col("known_name")).drop("pos")
+    return names.select("name").distinct().join(best, "name", "left")
 
 
 def first_candidate(names: DataFrame, known: DataFrame, candidates) -> DataFrame:
@@ -56,9 +97,18 @@ def by_region(asked: DataFrame, known: DataFrame, preferred: list[str]) -> DataF
 
 
 def not_alike(fixtures: DataFrame, have: DataFrame) -> DataFrame:
-    """Fixtures (date, home_key, away_key) with no fixture in `have` on the day whose keys equal or begin theirs, or the other way round."""
+    """Fixtures (date, home_key, away_key) with no fixture in `have` on the day whose keys equal or begin theirs, or the other way round.
+
+    Keys of two letters or more meet in their first two letters; shorter ones, which begin many others, on the day alone.
+    """
     def same(c):
         x, y = F.col(f"f.{c}"), F.col(f"h.{c}")
         return x.startswith(y) | y.startswith(x)
 
-    return fixtures.alias("f").join(have.alias("h"), [F.col("f.date") == F.col("h.date"), same("home_key"), same("away_key")], "left_anti")
+    head = lambda t, c: F.substring(f"{t}.{c}", 1, 2)
+    on_day = [F.col("f.date") == F.col("h.date"), same("home_key"), same("away_key")]
+    by_head = [head("f", c) == head("h", c) for c in ("home_key", "away_key")]
+    short = F.coalesce(F.least(F.length("home_key"), F.length("away_key")) < 2, F.lit(False))
+    rows = fixtures.where(~short).alias("f").join(have.where(~short).alias("h"), on_day + by_head, "left_anti")
+    rows = rows.join(have.where(short).alias("h"), on_day, "left_anti")
+    return rows.union(fixtures.where(short).alias("f").join(have.alias("h"), on_day, "left_anti")).alias("f")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.names import squash
+from ..functions.names import GENERIC, LOOSE_TOKENS, TRIMMED, candidates, squash
 from ..operators import resolve, settle
 from ..operators.ratings import expected_score
 from ..sources.matches import matches, team_matches
@@ -162,36 +162,64 @@ TOKENS_SQL = "list_sort(list_distinct(list_filter(list_transform(regexp_split_to
 
 @query("c10_token_containment", f"""
 WITH k AS (SELECT p_partkey AS known_id, p_retailprice AS peak, {TOKENS_SQL.format(x='p_name')} AS u FROM part),
-n AS (SELECT DISTINCT p_brand || ' ' || p_name AS name FROM part WHERE p_partkey % 10 = 0 UNION SELECT DISTINCT p_type FROM part),
+n AS (SELECT DISTINCT p_brand || ' ' || p_name AS name FROM part UNION SELECT DISTINCT p_type FROM part),
 a AS (SELECT name, {TOKENS_SQL.format(x='name')} AS t FROM n)
 SELECT name, known_id FROM (SELECT name, known_id, row_number() OVER (PARTITION BY name ORDER BY peak DESC, known_id) AS rn FROM a JOIN k ON len(t) > 0 AND len(u) > 0 AND (list_has_all(u, t) OR list_has_all(t, u))) WHERE rn = 1""")
 def token_containment(spark, d):
     p = table(spark, d, "part")
-    asked = p.where("p_partkey % 10 = 0").select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).union(p.select("p_type")).distinct()
+    asked = p.select(F.concat_ws(" ", "p_brand", "p_name").alias("name")).union(p.select("p_type")).distinct()
     return resolve.by_containment(asked, p.select(F.col("p_partkey").alias("known_id"), F.col("p_name").alias("known_name"), F.col("p_retailprice").alias("peak")))
 
 
-@query("c11_unique_or_refuse", """
-WITH known AS (SELECT DISTINCT n_name AS known_name FROM nation), k AS (SELECT *, regexp_replace(lower(known_name), '[^a-z0-9]', '', 'g') AS key FROM known),
-asked AS (SELECT DISTINCT 'FC ' || n_name AS name FROM nation UNION SELECT DISTINCT lower(n_name) FROM nation UNION SELECT s_name FROM supplier),
-x AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, regexp_replace(regexp_replace(lower(name), '^fc ', ''), '[^a-z0-9]', '', 'g') AS core FROM asked)
-SELECT x.name, coalesce(a.known_name, b.known_name) AS known_name, CASE WHEN a.known_name IS NOT NULL THEN 2 WHEN b.known_name IS NOT NULL THEN 3 END AS stage
-FROM x LEFT JOIN k a ON a.key = x.key LEFT JOIN k b ON b.key = x.core""")
-def unique_or_refuse(spark, d):
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
-    asked = n.select(F.concat(F.lit("FC "), "n_name").alias("name")).union(n.select(F.lower("n_name"))).union(s.select("s_name")).distinct()
-    return resolve.unique_or_refuse(asked, n.select(F.col("n_name").alias("known_name")).distinct())
+def words_sql(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+CORE_SQL = "list_filter(list_transform(regexp_split_to_array({x}, '[\\s\\-./]+'), lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: t <> '' AND t NOT IN ({drop}))"
+KEY_SQL = "regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+
 
+def keys_sql(x: str) -> str:
+    core = f"array_to_string({CORE_SQL.format(x=x, drop=words_sql(LOOSE_TOKENS))}, '')"
+    return f"{KEY_SQL.format(x=x)} AS fullkey, CASE WHEN {core} = '' THEN {KEY_SQL.format(x=x)} ELSE {core} END AS core"
 
-@query("c12_first_candidate", """
-WITH asked AS (SELECT s_suppkey, s_name AS name FROM supplier), known AS (SELECT DISTINCT 'K' || (s_suppkey % 13) AS known_name FROM supplier WHERE s_suppkey % 13 < 9),
-c AS (SELECT name, 0 AS pos, 'K' || (s_suppkey % 17) AS known_name FROM asked UNION ALL SELECT name, 1, 'K' || (s_suppkey % 5) FROM asked)
-SELECT name, known_name, pos FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS rn FROM c JOIN known USING (known_name)) WHERE rn = 1""")
+
+@query("c11_unique_or_refuse", f"""
+WITH k AS (SELECT known_name, {keys_sql('known_name')} FROM (SELECT DISTINCT n_name AS known_name FROM nation)),
+al AS (SELECT 'Country ' || n_nationkey AS alias, n_name AS known_name FROM nation),
+asked AS (SELECT 'FC ' || n_name AS name, 0 AS pos, 'FC ' || n_name AS spelling FROM nation UNION SELECT 'Country ' || n_nationkey, 0, 'Country ' || n_nationkey FROM nation
+  UNION SELECT n_name || ' Juniors', 0, n_name || ' Juniors' FROM nation UNION SELECT s_name, 0, s_name FROM supplier UNION SELECT s_name, 1, n_name || ' ' || (s_suppkey % 3) FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+x AS (SELECT *, {keys_sql('spelling')} FROM asked),
+hits AS (SELECT name, 1 AS stage, pos, known_name FROM x JOIN al ON alias = spelling
+  UNION ALL SELECT name, 2, pos, min(known_name) FROM x JOIN k ON k.fullkey = x.fullkey AND x.fullkey <> '' GROUP BY name, pos HAVING count(*) = 1
+  UNION ALL SELECT name, 3, pos, min(known_name) FROM x JOIN k ON k.core = x.core AND x.core <> '' GROUP BY name, pos HAVING count(*) = 1
+  UNION ALL SELECT name, 4, pos, min(known_name) FROM x JOIN k ON length(k.core) >= 4 AND x.core <> '' AND (contains(x.core, k.core) OR contains(k.core, x.core)) GROUP BY name, pos HAVING count(*) = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY stage, pos, known_name) AS rn FROM hits) WHERE rn = 1)
+SELECT a.name, known_name, stage FROM (SELECT DISTINCT name FROM asked) a LEFT JOIN best USING (name)""")
+def unique_or_refuse(spark, d):
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    country = F.concat(F.lit("Country "), F.col("n_nationkey"))
+    plain = n.select(F.explode(F.array(F.concat(F.lit("FC "), "n_name"), country, F.concat("n_name", F.lit(" Juniors")))).alias("name")).select("name", F.array("name").alias("spellings"))
+    places = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_name").alias("name"), F.array("s_name", F.concat("n_name", F.lit(" "), F.col("s_suppkey") % 3)).alias("spellings"))
+    return resolve.unique_or_refuse(plain.union(places).distinct(), n.select(F.col("n_name").alias("known_name")), n.select(country.alias("alias"), F.col("n_name").alias("known_name")))
+
+
+@query("c12_first_candidate", f"""
+WITH asked AS (SELECT DISTINCT list_value('F.C. ' || p_name, p_name || ' SK', 'Sporting ' || p_name, p_brand, p_type || ' ' || p_name)[p_partkey % 5 + 1] AS name FROM part),
+known AS (SELECT DISTINCT replace(p_name, ' ', '') AS known_name FROM part WHERE p_name < 'h' UNION SELECT DISTINCT p_type FROM part WHERE p_type < 'M' UNION SELECT split_part(p_name, ' ', 2) FROM part),
+b AS (SELECT name, trim(regexp_replace(name, '[.'']', '', 'g')) AS base FROM asked),
+p AS (SELECT *, list_filter(string_split(base, ' '), lambda t: t <> '') AS parts FROM b),
+e AS (SELECT *, list_filter([{words_sql(TRIMMED)}], lambda t: t = lower(parts[1]) OR t = lower(parts[-1]))[-1] AS token FROM p),
+t AS (SELECT *, CASE WHEN token IS NULL THEN base ELSE array_to_string(list_filter(parts, lambda t: lower(t) <> token), ' ') END AS short FROM e),
+l AS (SELECT name, list_concat([replace(base, ' ', ''), base, replace(short, ' ', ''), short], CASE WHEN len(parts) > 1 THEN list_filter([parts[-1], parts[1]], lambda t: length(t) >= 4 AND lower(t) NOT IN ({words_sql(GENERIC)})) ELSE [] END) AS c FROM t),
+u AS (SELECT name, list_filter(c, lambda v, i: v <> '' AND list_position(c, v) = i) AS c FROM l),
+r AS (SELECT name, unnest(c) AS known_name, generate_subscripts(c, 1) - 1 AS pos FROM u)
+SELECT name, known_name, pos::INTEGER AS pos FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos) AS rn FROM r JOIN known USING (known_name)) WHERE rn = 1""")
 def first_candidate(spark, d):
-    s = table(spark, d, "supplier")
-    known = s.where("s_suppkey % 13 < 9").select(F.concat(F.lit("K"), F.col("s_suppkey") % 13).alias("known_name")).distinct()
-    asked = s.select(F.col("s_name").alias("name"), F.array(F.concat(F.lit("K"), F.col("s_suppkey") % 17), F.concat(F.lit("K"), F.col("s_suppkey") % 5)).alias("c"))
-    return resolve.first_candidate(asked, known, F.col("c")).withColumnRenamed("at", "pos")
+    p = table(spark, d, "part")
+    name = F.element_at(F.array(F.concat(F.lit("F.C. "), "p_name"), F.concat("p_name", F.lit(" SK")), F.concat(F.lit("Sporting "), "p_name"), F.col("p_brand"), F.concat_ws(" ", "p_type", "p_name")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    known = p.where("p_name < 'h'").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("known_name")).union(p.where("p_type < 'M'").select("p_type")).union(p.select(F.split_part("p_name", F.lit(" "), F.lit(2))))
+    return resolve.first_candidate(p.select(name.alias("name")).distinct(), known.distinct(), candidates(F.col("name"))).withColumnRenamed("at", "pos")
 
 
 @query("c13_region_preference", """

@@ -90,3 +90,37 @@ def test_rho_is_found(spark):
     rho = grid.fit_rho(m)
     nll = lambda r: -(60 * math.log(1 - 1.2 * r) + 60 * math.log(1 - r) + 30 * math.log(1 + 1.2 * r) + 30 * math.log(1 + r))
     assert nll(rho) <= min(nll(-0.2 + k / 100) for k in range(41)) + 1e-6
+
+
+@pytest.mark.parametrize("raw, plain", [("București", "Bucuresti"), ("Botoșani", "Botosani"), ("Ġzira", "Gzira"), ("Jelgava Ņ", "Jelgava N"), ("Ķekava Ļ Ģ į", "Kekava L G i"), ("ﬁn", "fin"), ("日本 x", " x"), ("é", "e"), ("", "")])
+def test_folding_by_decomposition(spark, raw, plain):
+    assert one(spark, names.ascii_fold(F.lit(raw)))[0] == plain
+
+
+CLUBS = ["Nott'm Forest", "Leeds", "Hull", "Man City", "Man United", "Brighton", "Burnley"]
+
+
+@pytest.mark.parametrize("clubs, spellings, want", [
+    (CLUBS, ["Nottingham Forest", "Nottm Forest"], ("Nott'm Forest", 1)), (CLUBS, ["Leeds United", "Leeds"], ("Leeds", 2)), (CLUBS, ["Hull City"], ("Hull", 3)), (CLUBS, ["Hull City", "Hull"], ("Hull", 2)),
+    (CLUBS, ["Manchester City", "Man City"], ("Man City", 2)), (CLUBS, ["Brighton & Hove Albion"], ("Brighton", 4)), (["Man City", "Man United"], ["Manchester"], (None, None)),
+    (CLUBS, ["Nowhere Rovers"], (None, None)), (["Real Sociedad", "Sociedad B"], ["Sociedad"], (None, None)), (CLUBS, [None, ""], (None, None))])
+def test_unique_or_refuse(spark, clubs, spellings, want):
+    asked = spark.createDataFrame([("x", spellings)], "name string, spellings array<string>")
+    alias = spark.createDataFrame([("Nottingham Forest", "Nott'm Forest")], "alias string, known_name string")
+    got = resolve.unique_or_refuse(asked, spark.createDataFrame([(c,) for c in clubs], "known_name string"), alias).first()
+    assert (got["known_name"], got["stage"]) == want
+
+
+@pytest.mark.parametrize("name, alias, want", [
+    ("Sporting Gijon", None, ["SportingGijon", "Sporting Gijon", "Gijon"]), ("F.C. København", None, ["FCKobenhavn", "FC Kobenhavn", "Kobenhavn"]), ("Ajax", None, ["Ajax"]),
+    ("FC Basel SK", None, ["FCBaselSK", "FC Basel SK", "FCBasel", "FC Basel"]), ("PSG", "Paris SG", ["ParisSG", "Paris SG", "PSG"]), ("", None, [])])
+def test_candidates(spark, name, alias, want):
+    assert one(spark, names.candidates(F.lit(name), None if alias is None else F.lit(alias)))[0] == want
+
+
+def test_not_alike_with_short_and_null_keys(spark):
+    schema = "date string, home_key string, away_key string"
+    f = spark.createDataFrame([("d", "leedsunited", "hull"), ("d", "leeds", "york"), ("e", "leeds", "hull"), ("d", "a", "hull"), ("d", "bath", "b"), ("d", None, "hull")], schema)
+    have = spark.createDataFrame([("d", "leeds", "hullcity"), ("d", "ajax", "hull"), ("d", "b", "brest")], schema)
+    got = {tuple(r) for r in resolve.not_alike(f, have).select("f.date", "f.home_key", "f.away_key").collect()}
+    assert got == {("d", "leeds", "york"), ("e", "leeds", "hull"), ("d", None, "hull")}

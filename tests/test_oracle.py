@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "/root/testdata/sf0.001"
-NAMES = ["flagship_by_division", "e1_rolling_form", "e9_rating_replay", "e12_point_in_time_totals", "e14_expanding_folds", "b4_log_pool", "b19_value_bets", "c3_settle_interval", "c6_as_of_before", "c11_unique_or_refuse", "d11_betting_record", "d16_gap_distribution", "h8_letter_values", "i4_project_grid", "a1_dirty_csv", "a5_scoreboard_json", "k6_stream_supersede"]
+NAMES = ["flagship_by_division", "e1_rolling_form", "e9_rating_replay", "e12_point_in_time_totals", "e14_expanding_folds", "b4_log_pool", "b19_value_bets", "c3_settle_interval", "c6_as_of_before", "c10_token_containment", "c11_unique_or_refuse", "c12_first_candidate", "c14_fuzzy_dedup", "h4_ascii_fold", "d11_betting_record", "d16_gap_distribution", "h8_letter_values", "i4_project_grid", "a1_dirty_csv", "a5_scoreboard_json", "k6_stream_supersede"]
 
 
 def plain(v):
