@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import LOOSE_TOKENS, core_key, squash, token_set
+from ..functions.names import LOOSE_TOKENS, core_key, loose_keys, squash, token_set
 from .settle import best_first
 
 
@@ -88,12 +88,18 @@ def first_candidate(names: DataFrame, known: DataFrame, candidates) -> DataFrame
 
 
 def by_region(asked: DataFrame, known: DataFrame, preferred: list[str]) -> DataFrame:
-    """(name, known_id): the one entity (known_id, key, region) of the name's key; several are settled by a preferred region, or refused."""
-    pairs = asked.select("name", squash(F.col("name")).alias("key")).join(known, "key")
+    """(name, known_id): the one entity (known_id, key, region) of the name's key; several are settled by a preferred region, or refused.
+
+    If `known` has `loose`, an array of keys, names that no key fits are looked up once more by their loose keys.
+    """
     good = F.col("region").isin(*preferred)
-    counts = pairs.groupBy("name").agg(F.count("*").alias("n"), F.count_if(good).alias("n_good"), F.min("known_id").alias("any"), F.min(F.when(good, F.col("known_id"))).alias("one"))
+    pairs = asked.select("name", squash(F.col("name")).alias("key")).join(known, "key").select("name", "known_id", "region", F.lit(1).alias("stage"))
+    if "loose" in known.columns:
+        by_key = known.select("known_id", "region", F.explode("loose").alias("key"))
+        pairs = pairs.union(asked.select("name", F.explode(loose_keys(F.col("name"))).alias("key")).join(by_key, "key").select("name", "known_id", "region", F.lit(2)))
+    counts = pairs.distinct().groupBy("name", "stage").agg(F.count("*").alias("n"), F.count_if(good).alias("n_good"), F.min("known_id").alias("any"), F.min(F.when(good, F.col("known_id"))).alias("one"))
     pick = F.when(F.col("n") == 1, F.col("any")).when(F.col("n_good") == 1, F.col("one"))
-    return asked.select("name").distinct().join(counts.select("name", pick.alias("known_id")), "name", "left")
+    return asked.select("name").distinct().join(best_first(counts, ["name"], F.col("stage")).select("name", pick.alias("known_id")), "name", "left")
 
 
 def not_alike(fixtures: DataFrame, have: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.names import GENERIC, LOOSE_TOKENS, TRIMMED, candidates, squash
+from ..functions.names import GENERIC, LOOSE_TOKENS, TRIMMED, candidates, loose_keys, squash
 from ..operators import resolve, settle
 from ..operators.ratings import expected_score
 from ..sources.matches import matches, team_matches
@@ -224,16 +224,17 @@ def first_candidate(spark, d):
 
 @query("c13_region_preference", """
 WITH known AS (SELECT s_suppkey AS known_id, 'club' || (s_suppkey % 40) AS key, n_name AS region FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-asked AS (SELECT DISTINCT 'Club ' || (s_suppkey % 50) AS name FROM supplier),
+asked AS (SELECT DISTINCT 'Club ' || (s_suppkey % 50) AS name FROM supplier UNION SELECT DISTINCT 'SK Club ' || (s_suppkey % 60) FROM supplier),
 good AS (SELECT n_name FROM nation WHERE n_nationkey < 8),
 g AS (SELECT name, count(*) AS n, count(*) FILTER (WHERE region IN (SELECT n_name FROM good)) AS ng, min(known_id) AS anyone, min(known_id) FILTER (WHERE region IN (SELECT n_name FROM good)) AS one
-  FROM asked JOIN known ON key = lower(replace(name, ' ', '')) GROUP BY name)
+  FROM asked JOIN known ON key = lower(replace(replace(name, 'SK ', ''), ' ', '')) GROUP BY name)
 SELECT name, CASE WHEN n = 1 THEN anyone WHEN ng = 1 THEN one END AS known_id FROM asked LEFT JOIN g USING (name)""")
 def region_preference(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
     good = [r[0] for r in n.where("n_nationkey < 8").select("n_name").distinct().collect()]  # eight names
-    known = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("known_id"), F.concat(F.lit("club"), F.col("s_suppkey") % 40).alias("key"), F.col("n_name").alias("region"))
-    return resolve.by_region(s.select(F.concat(F.lit("Club "), F.col("s_suppkey") % 50).alias("name")).distinct(), known, good)
+    known = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("known_id"), F.concat(F.lit("club"), F.col("s_suppkey") % 40).alias("key"), F.col("n_name").alias("region"), loose_keys(F.concat(F.lit("Club "), F.col("s_suppkey") % 40)).alias("loose"))
+    asked = s.select(F.explode(F.array(F.concat(F.lit("Club "), F.col("s_suppkey") % 50), F.concat(F.lit("SK Club "), F.col("s_suppkey") % 60))).alias("name")).distinct()
+    return resolve.by_region(asked, known, good)
 
 
 FUZZY_SQL = """

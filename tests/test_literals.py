@@ -124,3 +124,11 @@ def test_not_alike_with_short_and_null_keys(spark):
     have = spark.createDataFrame([("d", "leeds", "hullcity"), ("d", "ajax", "hull"), ("d", "b", "brest")], schema)
     got = {tuple(r) for r in resolve.not_alike(f, have).select("f.date", "f.home_key", "f.away_key").collect()}
     assert got == {("d", "leeds", "york"), ("e", "leeds", "hull"), ("d", None, "hull")}
+
+
+def test_region_settles_and_loose_keys_follow(spark):
+    rows = [(1, "Liverpool", "ENG"), (2, "Liverpool", "URU"), (3, "PS Kalamata", "GRE"), (4, "NFC Volos", "GRE"), (5, "Nacional", "POR"), (6, "Nacional", "ESP")]
+    known = spark.createDataFrame(rows, "known_id int, club string, region string").select("known_id", "region", names.squash(F.col("club")).alias("key"), names.loose_keys(F.col("club")).alias("loose"))
+    asked = spark.createDataFrame([(x,) for x in ("Liverpool", "Kalamata", "Volos NFC", "Nacional", "Nowhere Rovers")], "name string")
+    got = dict(map(tuple, resolve.by_region(asked, known, ["ENG", "GRE", "POR", "ESP"]).collect()))
+    assert got == {"Liverpool": 1, "Kalamata": 3, "Volos NFC": 4, "Nacional": None, "Nowhere Rovers": None}
