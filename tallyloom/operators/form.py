@@ -66,23 +66,22 @@ def trend(n: int) -> Column:
     return F.coalesce(F.lag("elo", 1).over(by_team()) - F.lag("elo", n).over(by_team()), F.lit(0.0))
 
 
-def group_totals(moves: DataFrame) -> DataFrame:
+def group_totals(moves: DataFrame, span: Column | None = None) -> DataFrame:
     """Point-in-time totals by group when members (member, grp, value, ts, id) move between groups or change value.
 
-    Each row adds its value to its group, and takes the member's former value from the former group.  Days are summed first, so
-    a running total stays within a day of a group.
+    Each row adds its value to its group, and takes the member's former value from the former group.  Where `span`, a
+    coarser ts such as its day, is given, spans are summed first, so a running total stays within a span of a group.
     """
     own = W.partitionBy("member").orderBy("ts", "id")
     prior = moves.select("*", F.lag("grp").over(own).alias("old_grp"), F.lag("value").over(own).alias("old_value"))
     stays = F.col("old_grp") == F.col("grp")
     deltas = F.array(F.struct(F.col("grp"), F.when(stays, F.col("value") - F.col("old_value")).otherwise(F.col("value")).alias("delta"), F.lit(1).alias("part")), F.struct(F.col("old_grp").alias("grp"), (-F.col("old_value")).alias("delta"), F.lit(0).alias("part")))
     rows = prior.select("ts", "id", F.explode(deltas).alias("d"), stays.alias("stays")).where("d.grp is not null and not (d.part = 0 and stays)").select("ts", "id", "d.*")
-    day = F.coalesce(F.to_date("ts"), F.lit("0001-01-01").cast("date"))
-    rows = rows.withColumn("day", day)
-    days = rows.groupBy("grp", "day").agg(F.sum("delta").alias("of_day"))
-    ahead = days.select("grp", "day", F.coalesce(F.sum("of_day").over(W.partitionBy("grp").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("ahead"))
-    inside = F.sum("delta").over(W.partitionBy("grp", "day").orderBy("ts", "id", "part").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("inside", inside).join(ahead, ["grp", "day"]).select("grp", "ts", "id", (F.coalesce("ahead", F.lit(0.0)) + F.col("inside")).alias("total"))
+    rows = rows.withColumn("span", F.struct((F.lit(0) if span is None else span).alias("of")))  # a struct is never null
+    spans = rows.groupBy("grp", "span").agg(F.sum("delta").alias("of_span"))
+    ahead = spans.select("grp", "span", F.sum("of_span").over(W.partitionBy("grp").orderBy("span").rowsBetween(W.unboundedPreceding, -1)).alias("ahead"))
+    inside = F.sum("delta").over(W.partitionBy("grp", "span").orderBy("ts", "id", "part").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("inside", inside).join(ahead, ["grp", "span"]).select("grp", "ts", "id", (F.coalesce("ahead", F.lit(0.0)) + F.col("inside")).alias("total"))
 
 
 def last_rows(m: DataFrame, n: int) -> DataFrame:

@@ -146,7 +146,7 @@ deltas AS (SELECT grp, ts, id, 1 AS part, CASE WHEN og = grp THEN value - ov ELS
 SELECT grp, ts, id, {r6_sql('sum(delta) OVER (PARTITION BY grp ORDER BY ts, id, part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS total FROM deltas""")
 def point_in_time_totals(spark, d):
     e = table(spark, d, "events")
-    return rounded(form.group_totals(e.select(F.col("user_id").alias("member"), F.col("event_type").alias("grp"), "value", "ts", F.col("event_id").alias("id"))))
+    return rounded(form.group_totals(e.select(F.col("user_id").alias("member"), F.col("event_type").alias("grp"), "value", "ts", F.col("event_id").alias("id")), F.to_date("ts")))
 
 
 @query("e13_holdout", M_SQL + "SELECT match_id, date, div FROM m ORDER BY date DESC, match_id DESC LIMIT 400")

@@ -62,3 +62,5 @@ def test_transfer_out_and_back(spark):
     moves = spark.createDataFrame([("p", "A", 10.0, 1, 1), ("p", "B", 12.0, 2, 2), ("p", "A", 15.0, 3, 3)], "member string, grp string, value double, ts int, id int")
     got = [(r["grp"], r["ts"], r["total"]) for r in form.group_totals(moves).orderBy("grp", "ts").collect()]
     assert got == [("A", 1, 10.0), ("A", 2, 0.0), ("A", 3, 15.0), ("B", 2, 12.0), ("B", 3, 0.0)]
+    spans = [(r["grp"], r["ts"], r["total"]) for r in form.group_totals(moves, F.expr("nullif(ts div 2, 0)")).orderBy("grp", "ts").collect()]
+    assert spans == got
