@@ -1,7 +1,9 @@
-"""Score distributions: a grid of (i, j, p) rows a match, from 0-0 to 8-8, and what is read off it.
+"""Score distributions: the chances of scores (i, j) from 0-0 to 8-8, and what is read off them.
 
-The grid is one array a match until it is exploded, so making, projecting and reading it off needs no shuffle; only
-exploded rows (81 a match) are ever grouped, and then by match.
+A match carries its distribution as one struct: the chances of each side's goals (two arrays), the rates and rho for the four
+low scores that depend on each other, and the sums and scales of the three regions (home win, draw, away win).  Region sums
+come from running sums of one side's chances and corrections of the low scores, so making, projecting and reading off a
+distribution touches no cell; a cell is one product.  Only exploded rows (81 a match) hold all cells, and they need no shuffle.
 """
 
 from __future__ import annotations
@@ -24,19 +26,9 @@ def tau(i: int, j: int, lam: Column, mu: Column, rho: Column) -> Column | float:
     return {(0, 0): 1 - lam * mu * rho, (0, 1): 1 + lam * rho, (1, 0): 1 + mu * rho, (1, 1): 1 - rho}.get((i, j), F.lit(1.0))
 
 
-def cells(lam: Column, mu: Column, rho: Column | None = None, size: int = SIZE) -> Column:
-    """Array of (i, j, p), row by row, normalised: the outer product of two arrays of `size`, so the plan is as small for any size."""
-    chances = lambda rate: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.exp(-rate + k * F.log(rate)) / F.factorial(k))
-
-    def outer(b):
-        def cell(x, i, y, j):
-            low = F.when((i == 0) & (j == 0), tau(0, 0, b["l"], b["u"], b["r"])).when((i == 0) & (j == 1), tau(0, 1, b["l"], b["u"], b["r"])).when((i == 1) & (j == 0), tau(1, 0, b["l"], b["u"], b["r"])).when((i == 1) & (j == 1), tau(1, 1, b["l"], b["u"], b["r"])).otherwise(1.0)
-            return F.struct(i.alias("i"), j.alias("j"), (x * y * low if rho is not None else x * y).alias("p"))
-
-        return F.flatten(F.transform(b["h"], lambda x, i: F.transform(b["a"], lambda y, j: cell(x, i, y, j))))
-
-    bound = F.struct(chances(lam).alias("h"), chances(mu).alias("a"), lam.alias("l"), mu.alias("u"), (rho if rho is not None else F.lit(0.0)).alias("r"))
-    return bind(bind(bound, outer), lambda g: bind(total(g), lambda s: F.transform(g, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / s).alias("p")))))
+def chances(rate: Column, size: int = SIZE) -> Column:
+    """Array of the Poisson chances of 0 to size - 1 goals."""
+    return F.array(*[F.exp(-rate) * F.pow(rate, F.lit(k)) / math.factorial(k) for k in range(size)])
 
 
 def bind(value: Column, use) -> Column:
@@ -44,34 +36,76 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def total(grid: Column, keep=None) -> Column:
-    """Sum of the cells that `keep` accepts."""
-    return F.aggregate(grid, F.lit(0.0), lambda s, c: s + (F.when(keep(c), c["p"]).otherwise(0.0) if keep else c["p"]))
+def cells(lam: Column, mu: Column, rho: Column | None = None, size: int = SIZE) -> Column:
+    """The distribution of scores, normalised; name it by withColumn before reading it off more than once."""
+    base = F.struct(chances(lam, size).alias("x"), chances(mu, size).alias("y"), lam.alias("l"), mu.alias("u"), (rho if rho is not None else F.lit(0.0)).alias("r"))
+
+    def sums(b):
+        x, y = ([b[side][k] for k in range(size)] for side in "xy")
+        below = lambda v: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.aggregate(F.slice(v, 1, k), F.lit(0.0), lambda s, c: s + c))
+        part = F.struct(below(b["x"]).alias("x"), below(b["y"]).alias("y"))
+
+        def regions(c):
+            h = sum((x[k] * c["y"][k - 1] for k in range(2, size)), x[1] * y[0])
+            a = sum((y[k] * c["x"][k - 1] for k in range(2, size)), x[0] * y[1])
+            d = sum((x[k] * y[k] for k in range(1, size)), x[0] * y[0])
+            low = {s: x[s[0]] * y[s[1]] * (tau(*s, b["l"], b["u"], b["r"]) - 1) for s in ((0, 0), (0, 1), (1, 0), (1, 1))}
+            return F.struct((h + low[1, 0]).alias("h"), (d + low[0, 0] + low[1, 1]).alias("d"), (a + low[0, 1]).alias("a"))
 
+        share = lambda s: {r: s[r] / (s["h"] + s["d"] + s["a"]) for r in REGIONS}
+        return bind(bind(part, regions), lambda s: _distribution(b, {r: 1 / (s["h"] + s["d"] + s["a"]) for r in REGIONS}, share(s)))
 
-def region(name: str):
-    return {"h": lambda c: c["i"] > c["j"], "d": lambda c: c["i"] == c["j"], "a": lambda c: c["i"] < c["j"]}[name]
+    return bind(base, sums)
+
+
+def _distribution(b: Column, scale: dict[str, Column], sums: dict[str, Column]) -> Column:
+    return F.struct(*[b[k].alias(k) for k in "xylur"], *[c.alias(f"by_{r}") for r, c in scale.items()], *[c.alias(r) for r, c in sums.items()])
 
 
 def outcome(grid: Column) -> dict[str, Column]:
-    return {r: total(grid, region(r)) for r in REGIONS}
+    return {r: grid[r] for r in REGIONS}
 
 
 def projected(grid: Column, target: dict[str, Column]) -> Column:
-    """The grid rescaled so that its regions sum to `target`; an empty region stays empty."""
-    sums = F.struct(*[total(grid, region(r)).alias(r) for r in REGIONS])
-    part = lambda c, s: F.when(c["i"] > c["j"], F.when(s["h"] > 0, target["h"] / s["h"]).otherwise(1.0)).when(c["i"] == c["j"], F.when(s["d"] > 0, target["d"] / s["d"]).otherwise(1.0)).otherwise(F.when(s["a"] > 0, target["a"] / s["a"]).otherwise(1.0))
-    scaled = F.element_at(F.transform(F.array(sums), lambda s: F.transform(grid, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] * part(c, s)).alias("p")))), 1)
-    return F.element_at(F.transform(F.array(scaled), lambda g: F.element_at(F.transform(F.array(total(g)), lambda t: F.transform(g, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (c["p"] / t).alias("p")))), 1)), 1)
+    """The distribution rescaled so that its regions sum to `target`; an empty region stays empty."""
+    def rescaled(g):
+        kept = {r: F.when(g["of"][r] > 0, g["to"][r]).otherwise(0.0) for r in REGIONS}
+        whole = kept["h"] + kept["d"] + kept["a"]
+        scale = {r: F.when(g["of"][r] > 0, g["of"][f"by_{r}"] * g["to"][r] / g["of"][r] / whole).otherwise(0.0) for r in REGIONS}
+        return _distribution(g["of"], scale, {r: kept[r] / whole for r in REGIONS})
+
+    return bind(F.struct(grid.alias("of"), F.struct(*[target[r].alias(r) for r in REGIONS]).alias("to")), rescaled)
+
+
+def cell(grid: Column, i: int, j: int) -> Column:
+    """The chance of one score."""
+    p = grid["x"][i] * grid["y"][j] * grid[f"by_{'h' if i > j else 'd' if i == j else 'a'}"]
+    return p * tau(i, j, grid["l"], grid["u"], grid["r"]) if i < 2 and j < 2 else p
+
+
+def score_rows(df: DataFrame, *keep: str, name: str = "grid", size: int = SIZE) -> DataFrame:
+    """(keep.., i, j, p): a row a score; the scores are exploded first, so each row's chance is plain arithmetic."""
+    g, i, j = F.col(name), F.col("i"), F.col("j")
+    rows = df.select(*keep, name, F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("_k"))
+    rows = rows.select(*keep, name, F.expr(f"cast(_k div {size} as int)").alias("i"), F.expr(f"_k % {size}").alias("j"))
+    low = F.when((i > 1) | (j > 1), 1.0)
+    for s in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        low = low.when((i == s[0]) & (j == s[1]), tau(*s, g["l"], g["u"], g["r"]))
+    by = F.when(i > j, g["by_h"]).when(i == j, g["by_d"]).otherwise(g["by_a"])
+    return rows.select(*keep, "i", "j", (F.get(g["x"], i) * F.get(g["y"], j) * low * by).alias("p"))
 
 
 def over(grid: Column, line: float = 2.5) -> Column:
-    return total(grid, lambda c: c["i"] + c["j"] > F.lit(line))
+    """Chance of more goals than the line: one less the few scores up to it."""
+    few = [(i, j) for i in range(int(line) + 1) for j in range(int(line) + 1 - i)]
+    return 1 - sum((cell(grid, *s) for s in few[1:]), cell(grid, *few[0]))
 
 
-def top_scores(grid: Column, k: int) -> Column:
-    """The k likeliest scores, ties in row order."""
-    return F.slice(F.array_sort(grid, lambda x, y: F.when(x["p"] > y["p"], -1).when(x["p"] < y["p"], 1).otherwise((x["i"] - y["i"]) * 100 + x["j"] - y["j"])), 1, k)
+def top_scores(grid: Column, k: int, digits: int | None = None, size: int = SIZE) -> Column:
+    """The k likeliest scores (i, j, p), ties in row order; chances are rounded to `digits` before they are compared, if given."""
+    down = lambda p: -(F.round(p, digits) if digits is not None else p)
+    every = F.array(*[F.struct(down(cell(grid, i, j)).alias("down"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(size)])
+    return F.transform(F.slice(F.sort_array(every), 1, k), lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (-c["down"]).alias("p")))
 
 
 def over_line(rate: Column, line: float) -> Column:

@@ -167,10 +167,12 @@ def with_picks(p):
 
 def bets(p):
     """Value bets: the side with the largest edge if it is over 0.03 at an opening price of 1.30 or more; with roi and clv."""
-    p = with_picks(p)
-    by = lambda cols: F.when(F.col("side") == "H", F.col(cols[0])).when(F.col("side") == "D", F.col(cols[1])).otherwise(F.col(cols[2]))
-    p = p.withColumns({"edge": by(("mh", "md", "ma")) - by(("kh", "kd", "ka")), "price": by(PRICES), "close": by(("ch", "cd", "ca")), "result": odds.result(F.col("hg"), F.col("ag"))})
-    p = p.where((F.col("edge") > 0.03) & (F.col("price") >= 1.3))
+    side = lambda o, k, price, close: F.struct((F.col(f"m{k}") - F.col(f"k{k}")).alias("edge"), F.lit(-"HDA".index(o)).alias("first"), F.lit(o).alias("side"), F.col(price).alias("price"), F.col(close).alias("close"))
+    kept = [c for c in p.columns if c not in {"mh", "md", "ma", "kh", "kd", "ka", *PRICES, "ch", "cd", "ca"}]
+    # one struct a side, of which the largest is the bet: each probability is named once, and the filter reads a generated row
+    three = F.array(*[side(o, o.lower(), price, close) for o, price, close in zip("HDA", PRICES, ("ch", "cd", "ca"))])
+    best = F.filter(F.array(F.array_max(three)), lambda x: (x["edge"] > 0.03) & (x["price"] >= 1.3))
+    p = p.select(*kept, F.explode(best).alias("bet")).select(*kept, "bet.side", "bet.edge", "bet.price", "bet.close").withColumn("result", odds.result(F.col("hg"), F.col("ag")))
     return p.withColumns({"roi": F.when(F.col("side") == F.col("result"), F.col("price") - 1).otherwise(-1.0), "clv": F.when(F.col("close") > 1.01, F.col("price") / F.col("close") - 1)})
 
 
@@ -398,8 +400,8 @@ def gridded(spark, d):
     return rated(spark, d).withColumn("grid", grid.cells(F.col("lam"), F.col("mu"), F.lit(-0.05)))
 
 
-def exploded(df, name="grid"):
-    return rounded(df.select("match_id", F.explode(name).alias("c")).select("match_id", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"), "c.p"))
+def exploded(df):
+    return rounded(grid.score_rows(df, "match_id").withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}))
 
 
 @query("i1_poisson_grid", GRID_SQL + f"SELECT match_id, i, j, {r6_sql('q / sum(q) OVER (PARTITION BY match_id)')} AS p FROM raw")
@@ -433,14 +435,12 @@ def over25(spark, d):
 
 @query("i6_modal_score", GRID_SQL + "SELECT match_id, i, j FROM (SELECT match_id, i, j, row_number() OVER (PARTITION BY match_id ORDER BY round(pp, 12) DESC, i, j) AS rn FROM proj) WHERE rn = 1")
 def modal_score(spark, d):
-    rough = F.transform("grid", lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), F.round(c["p"], 12).alias("p")))
-    return projected(spark, d).select("match_id", F.get(grid.top_scores(rough, 1), 0).alias("c")).select("match_id", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"))
+    return projected(spark, d).select("match_id", F.get(grid.top_scores(F.col("grid"), 1, 12), 0).alias("c")).select("match_id", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"))
 
 
 @query("e19_top_scores", GRID_SQL + f"SELECT match_id, rn::INTEGER AS rank, i, j, {r6_sql('pp')} AS p FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(pp, 12) DESC, i, j) AS rn FROM proj) WHERE rn <= 6")
 def top_scores(spark, d):
-    rough = F.transform("grid", lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), F.round(c["p"], 12).alias("p")))
-    out = projected(spark, d).select("match_id", F.posexplode(grid.top_scores(rough, 6)).alias("at", "c"))
+    out = projected(spark, d).select("match_id", F.posexplode(grid.top_scores(F.col("grid"), 6, 12)).alias("at", "c"))
     return rounded(out.select("match_id", (F.col("at") + 1).alias("rank"), F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"), "c.p"))
 
 
@@ -478,6 +478,7 @@ def independent_grid(spark, d):
 @query("i11_consistency_audit", GRID_SQL + "SELECT match_id FROM proj GROUP BY match_id HAVING abs(sum(pp) - 1) > 1e-9")
 def consistency_audit(spark, d):
     """Matches whose grid does not add up to one or to its three-way probabilities: none."""
-    p = projected(spark, d)
-    own = grid.outcome(F.col("grid"))
-    return p.where((F.abs(grid.total(F.col("grid")) - 1) > 1e-9) | (F.abs(own["h"] - F.col("mh")) > 1e-9) | (F.abs(own["d"] - F.col("md")) > 1e-9)).select("match_id")
+    rows = grid.score_rows(projected(spark, d), "match_id", "mh", "md")
+    of = lambda keep: F.sum(F.when(keep, F.col("p")).otherwise(0.0))
+    sums = rows.groupBy("match_id").agg(F.sum("p").alias("all"), (of(F.col("i") > F.col("j")) - F.first("mh")).alias("h"), (of(F.col("i") == F.col("j")) - F.first("md")).alias("d"))
+    return sums.where((F.abs(F.col("all") - 1) > 1e-9) | (F.abs("h") > 1e-9) | (F.abs("d") > 1e-9)).select("match_id")
