@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bind
+
 #: Letters that do not decompose, and their spelling.
 TRANSLITERATED = {"æ": "ae", "Æ": "Ae", "ø": "o", "Ø": "O", "œ": "oe", "Œ": "Oe", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ı": "i"}
 #: Tokens that tell what kind of club it is, not which.
@@ -43,28 +45,40 @@ def _decomposed() -> tuple[str, str, dict[str, str]]:
 ACCENTED, PLAIN, LIGATURES = _decomposed()
 
 
+def _spelled(c: Column, letters: dict[str, str]) -> Column:
+    """`c` with each letter of a map spelled out; one lambda, so the plan stays small wherever it is named."""
+    pairs = F.array(*[F.struct(F.lit(odd).alias("odd"), F.lit(plain).alias("plain")) for odd, plain in letters.items()])
+    return F.aggregate(pairs, c, lambda text, p: F.replace(text, p["odd"], p["plain"]))
+
+
 def ascii_fold(c: Column) -> Column:
     """Plain letters for accented ones, by Unicode's own decompositions; any other character outside ASCII goes."""
-    folded = c
-    for odd, plain in {**TRANSLITERATED, **LIGATURES}.items():
-        folded = F.replace(folded, F.lit(odd), F.lit(plain))
-    folded = F.regexp_replace(F.translate(folded, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.translate(_spelled(c, {**TRANSLITERATED, **LIGATURES}), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+
+
+def _words_fold(c: Column) -> Column:
+    """ascii_fold for keys: only letters and digits come out of it, so folding makes no separators."""
+    kept = [(odd, plain) for odd, plain in zip(ACCENTED, PLAIN) if plain.isalnum()]
+    spelled = _spelled(c, {odd: plain for odd, plain in {**TRANSLITERATED, **LIGATURES}.items() if plain.isalnum()})
+    folded = F.translate(spelled, "".join(odd for odd, _ in kept), "".join(plain for _, plain in kept))
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 def squash(c: Column) -> Column:
     """Lower-case letters and digits only."""
-    return F.regexp_replace(F.lower(ascii_fold(c)), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(_words_fold(c)), "[^a-z0-9]", "")
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[\s\-./]+"), squash), lambda t: t != "")
+    """The squashed words between white space, hyphens, dots and slashes; the text is folded once, before it is split."""
+    return F.filter(F.split(F.regexp_replace(F.lower(_words_fold(c)), r"[^a-z0-9\s\-./]", ""), r"[\s\-./]+"), lambda t: t != "")
 
 
 def core_tokens(c: Column, drop=CLUB_TOKENS) -> Column:
     """The tokens without club words; all of them if nothing is left."""
-    core = F.filter(tokens(c), lambda t: ~t.isin(*drop))
-    return F.when(F.size(core) > 0, core).otherwise(tokens(c))
+    core = lambda every: bind(F.filter(every, lambda t: ~t.isin(*drop)), lambda some: F.when(F.size(some) > 0, some).otherwise(every))
+    return bind(tokens(c), core)
 
 
 def core_key(c: Column, drop=CLUB_TOKENS) -> Column:
@@ -76,7 +90,8 @@ def sorted_key(c: Column) -> Column:
 
 
 def loose_keys(c: Column) -> Column:
-    return F.filter(F.array_distinct(F.array(core_key(c), F.array_join(F.array_sort(core_tokens(c)), ""), sorted_key(c))), lambda k: k != "")
+    keys = lambda t: F.array(F.array_join(t, ""), F.array_join(F.array_sort(t), ""), sorted_key(c))
+    return F.filter(F.array_distinct(bind(core_tokens(c), keys)), lambda k: k != "")
 
 
 def candidates(c: Column, alias: Column | None = None) -> Column:
@@ -103,7 +118,7 @@ def token_set(c: Column, expand: Column | None = None) -> Column:
     return F.array_sort(F.array_distinct(out))
 
 
-#: Letters by their value from 1 to 8 in the second letter system.
+#: The Chaldean letter table, letters by their value from 1 to 8.
 SECOND_VALUES = ("AIJQY", "BKR", "CGLS", "DMT", "EHNX", "UVW", "OZ", "FP")
 
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bind
+
 SIZE = 9
 REGIONS = ("h", "d", "a")
 
@@ -31,11 +33,6 @@ def chances(rate: Column, size: int = SIZE) -> Column:
     return F.array(*[F.exp(-rate) * F.pow(rate, F.lit(k)) / math.factorial(k) for k in range(size)])
 
 
-def bind(value: Column, use) -> Column:
-    """use(value) with the value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def cells(lam: Column, mu: Column, rho: Column | None = None, size: int = SIZE) -> Column:
     """The distribution of scores, normalised; name it by withColumn before reading it off more than once."""
     base = F.struct(chances(lam, size).alias("x"), chances(mu, size).alias("y"), lam.alias("l"), mu.alias("u"), (rho if rho is not None else F.lit(0.0)).alias("r"))
