@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_base
+
 OUT = "match_id long, elo_h double, elo_a double, exp_h double, elo_h_post double, elo_a_post double"
 
 
@@ -29,11 +31,7 @@ def expected_score(diff: Column, home: Column | float = 0.0) -> Column:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(team, component) from pairs (home, away), by minimum labels over the distinct pairs."""
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    shared_base(pairs.sparkSession)
     edges = pairs.select(F.least("home", "away").alias("a"), F.greatest("home", "away").alias("b")).distinct()
     edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     label = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).checkpoint()

@@ -1,27 +1,34 @@
-"""Structured Streaming twins of the batch operators.  Each drains its input with AvailableNow into Parquet."""
+"""Structured Streaming twins of the batch operators.  Each drains its input with AvailableNow into Parquet.
+
+State is bounded by watermarks: windows and sessions are written once, when the watermark has passed them, and keys are
+forgotten with their time.  A feed may end with a marker, one row far in the future, which lets everything before it close.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_base
+
 
 def shared(spark: SparkSession) -> str:
-    """A new folder where all executors can write: under the checkpoint folder, or a temporary one where none is set."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder where all executors can write."""
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def source(spark: SparkSession, df: DataFrame, files: int = 4, order: str | None = None) -> DataFrame:
-    """`df` as a file stream, one file a micro-batch; with `order`, files are written one after the other in its order."""
+def source(spark: SparkSession, df: DataFrame, files: int = 4, order: str | None = None, width: int = 2, end: str | None = None, marker: dict | None = None) -> DataFrame:
+    """`df` as a file stream of `files` micro-batches of `width` files, which as many tasks write.
+
+    With `order`, the batches follow one another in its order; with `end`, a timestamp column, a last batch holds one row
+    ten years after the others, whose other columns are those of `marker`, or null.  Give a marker the keys of a join: rows
+    with null keys are filtered out before they move the watermark.
+    """
     base = shared(spark)
     if order is None:
-        df.repartition(files).write.parquet(f"{base}/in")
+        df.repartition(files * width).write.parquet(f"{base}/in")
     else:
         df.write.parquet(f"{base}/all")
         rows = spark.read.schema(df.schema).parquet(f"{base}/all").withColumn("_s", F.unix_timestamp(F.col(order).cast("timestamp")).cast("double"))
@@ -29,12 +36,15 @@ def source(spark: SparkSession, df: DataFrame, files: int = 4, order: str | None
         edges = [None, *sorted(set(cuts)), None]
         for low, high in zip(edges, edges[1:]):
             part = rows.where((F.col("_s") > low if low is not None else F.lit(True)) & (F.col("_s") <= high if high is not None else F.lit(True)))
-            part.drop("_s").coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+            part.drop("_s").repartition(width).write.mode("append").parquet(f"{base}/in")
+    if end is not None:
+        far = df.agg((F.max(end) + F.expr("interval 10 years")).cast(df.schema[end].dataType).alias(end))
+        far.select(*[F.col(c) if c == end else F.lit((marker or {}).get(c)).cast(t).alias(c) for c, t in df.dtypes]).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(f"{base}/in")
 
 
-def drained(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame:
-    """Runs a stream to its end and returns what it wrote."""
+def drained(stream: DataFrame, mode: str = "append", batch=None, progress: list | None = None) -> DataFrame:
+    """Runs a stream to its end and returns what it wrote; `progress` gets the reports of its batches."""
     spark = stream.sparkSession
     base = shared(spark)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
@@ -43,24 +53,17 @@ def drained(stream: DataFrame, mode: str = "append", batch=None) -> DataFrame:
     else:
         q = writer.format("parquet").start(f"{base}/out")
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
     schema = stream.schema if batch is None else None
     return (spark.read.schema(schema) if schema else spark.read).parquet(f"{base}/out")
 
 
-def append_new(key: list[str], have: DataFrame | None = None):
-    """foreachBatch: appends rows whose key was neither there nor written by an earlier batch; a batch that is run again
-    overwrites its own folder, so a retry adds nothing twice."""
-    def run(df: DataFrame, epoch: int, out: str) -> None:
-        spark = df.sparkSession
-        new = df.dropDuplicates(key)
-        if have is not None:
-            new = new.join(have.select(*key), key, "left_anti")
-        for before in range(epoch):
-            done = spark.read.schema(df.schema).parquet(f"{out}/epoch={before}")
-            new = new.join(done.select(*key), key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    return run
+def new_keys(stream: DataFrame, key: list[str], ts: str, delay: str, have: DataFrame | None = None) -> DataFrame:
+    """The first row of each key that `have` doesn't hold.  The key has the time `ts` in it, so a key's state goes when the
+    watermark passes its time, and nothing that was written before is read again."""
+    new = stream if have is None else stream.join(have.select(*key), key, "left_anti")
+    return new.withWatermark(ts, delay).dropDuplicates(key)
 
 
 def first_in_window(stream: DataFrame, key: list[str], ts: str, delay: str) -> DataFrame:
@@ -68,50 +71,42 @@ def first_in_window(stream: DataFrame, key: list[str], ts: str, delay: str) -> D
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def settled(predictions: DataFrame, results: DataFrame, days: int = 3) -> DataFrame:
-    """Stream-stream join of predictions and results of the same sides within `days`; both sides' state is bounded by watermarks."""
-    p = predictions.withWatermark("p_ts", f"{days + 1} days").alias("p")
-    r = results.withWatermark("r_ts", f"{days + 1} days").alias("r")
-    near = F.expr(f"r.r_ts between p.p_ts - interval {days} days and p.p_ts + interval {days} days")
-    return p.join(r, [F.col("p.home") == F.col("r.home"), F.col("p.away") == F.col("r.away"), near])
+def settled(predictions: DataFrame, results: DataFrame, days: int = 3, expiry: float | None = None) -> DataFrame:
+    """Stream-stream join of predictions and results of the same sides within `days`; both sides' state is bounded by watermarks.
 
+    With `expiry`, predictions without a result come out, too, with nulls, as soon as no result later than `expiry` days
+    after them is awaited: the results' watermark trails by expiry - days, so the join lets go of them just then.
+    """
+    behind = f"{days + 1} days" if expiry is None else f"{int((expiry - days) * 24)} hours"
+    p = predictions.withWatermark("p_ts", f"{days + 1} days" if expiry is None else "1 day").alias("p")
+    r = results.withWatermark("r_ts", behind).alias("r")
+    near = F.expr(f"r.r_ts >= p.p_ts - interval {days} days and r.r_ts <= p.p_ts + interval {days} days")
+    return p.join(r, (F.col("p.home") == F.col("r.home")) & (F.col("p.away") == F.col("r.away")) & near, "inner" if expiry is None else "left_outer")
 
-def tumbling(stream: DataFrame, width: str, *aggregates, keys=(), delay: str = "1 day", slide: str | None = None) -> DataFrame:
-    w = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return stream.withWatermark("ts", delay).groupBy(w.alias("w"), *keys).agg(*aggregates)
 
+def tumbling(stream: DataFrame, width: str, *aggregates, keys=(), delay: str = "1 day", slide: str | None = None, ts: str = "ts") -> DataFrame:
+    """Windows that are written once, when the watermark has passed their end."""
+    w = F.window(ts, width, slide) if slide else F.window(ts, width)
+    return stream.withWatermark(ts, delay).groupBy(w.alias("w"), *keys).agg(*aggregates)
 
-def rating_batches(home_edge: float = 68.0, base: float = 1500.0):
-    """foreachBatch: replays each batch's matches, in time order by component, on the ratings left by the batches before.
 
-    State is a table of ratings by team, one version a batch.  A match older than the last one of its component goes to the
-    late table, as applying it would change what came after.
-    """
+def distinct_in_windows(stream: DataFrame, width: str, slide: str, item: str, delay: str = "1 day") -> DataFrame:
+    """(w, n, items): rows and distinct items of sliding windows.  Items are counted by window first and these counts by
+    window again, so a window's items are rows of state that are spread over tasks, never a set in one row."""
+    each = tumbling(stream, width, F.count("*").alias("n"), keys=(item,), delay=delay, slide=slide)
+    return each.groupBy("w").agg(F.sum("n").alias("n"), F.count(item).alias("items"))
+
+
+def stale(stream: DataFrame, key: str, gap: str, delay: str = "1 day") -> DataFrame:
+    """(key, last_seen): written when a key has been silent for `gap`; a key that comes back and falls silent again is written again."""
+    spells = stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.max("ts").alias("last_seen"))
+    return spells.select(key, "last_seen")
+
+
+def upserts(merge):
+    """foreachBatch: writes what a batch has, merged within itself, as one more delta.  `merge` must give the same whatever is
+    merged first; then readers merge the deltas, and the bytes a batch writes don't grow with the table."""
     def run(df: DataFrame, epoch: int, out: str) -> None:
-        spark = df.sparkSession
-        schema = "team long, div int, elo double, last_date date, last_id long"
-        state = spark.read.schema(schema).parquet(f"{out.replace('/out', '/ratings')}/v={epoch - 1}") if epoch else spark.createDataFrame([], schema)
-
-        def replay(key, own: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            rating = dict(zip(old["team"], old["elo"]))
-            last = max(zip(old["last_date"], old["last_id"]), default=None)
-            rows = []
-            for m in own.sort_values(["date", "match_id"]).itertuples(index=False):
-                late = last is not None and (m.date, m.match_id) <= last
-                eh, ea = rating.get(m.home, base), rating.get(m.away, base)
-                if not late:
-                    exp = 1.0 / (1.0 + 10.0 ** ((ea - (eh + home_edge)) / 400.0))
-                    step = m.weight * (m.score - exp)
-                    rating[m.home], rating[m.away] = eh + step, ea - step
-                    last = (m.date, m.match_id)
-                rows.append((0 if late else 1, m.match_id, m.home, m.away, eh, ea, None, None, None))
-            kept = [(2, None, t, None, r, None, int(key[0]), last[0], last[1]) for t, r in rating.items()] if last else []
-            return pd.DataFrame(rows + kept, columns=["kind", "match_id", "team", "away", "elo", "elo_a", "div", "last_date", "last_id"]).astype({"match_id": "Int64", "team": "Int64", "away": "Int64", "div": "Int64", "last_id": "Int64"})
-
-        done = df.groupBy("div").cogroup(state.groupBy("div")).applyInPandas(replay, "kind int, match_id long, team long, away long, elo double, elo_a double, div int, last_date date, last_id long").persist()
-        done.where("kind = 2").select("team", "div", "elo", "last_date", "last_id").write.mode("overwrite").parquet(f"{out.replace('/out', '/ratings')}/v={epoch}")
-        done.where("kind = 1").select("match_id", F.col("elo").alias("elo_h"), "elo_a").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        done.where("kind = 0").select("match_id").write.mode("overwrite").parquet(f"{out.replace('/out', '/late')}/epoch={epoch}")
-        done.unpersist()
+        merge(df).write.mode("overwrite").parquet(f"{out}/v={epoch}")
 
     return run
