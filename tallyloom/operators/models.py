@@ -10,8 +10,9 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import form, ratings
+from . import boosting, form, ratings
 from ..sources.matches import team_matches
+from ..sources.storage import stored
 
 BASE = ["elo_diff", "exp_h", "rest_h", "rest_a", "h_gf5", "h_ga5", "a_gf5", "a_ga5", "h_form5", "a_form5", "h2h"]
 SHOTS = ["h_sot", "a_sot"]
@@ -21,7 +22,7 @@ def features(m: DataFrame, rated: DataFrame) -> DataFrame:
     """One row a match: what was known before it, with label (0 home, 1 draw, 2 away) and goals."""
     tm = team_matches(m)
     own = form.rolling_form(tm).join(form.rest_days(tm), ["team", "match_id"]).join(form.shots_form(tm).select("team", "match_id", F.col("sot_for").alias("sot")), ["team", "match_id"])
-    out = m.select("match_id", "date", "div", "home", "away", "hg", "ag", "cards", "referee", "oh", "od", "oa")
+    out = m.select("match_id", "date", "div", "home", "away", "hg", "ag", "cards", "referee", "oh", "od", "oa", "ch", "cd", "ca")
     for side, p in (("home", "h"), ("away", "a")):
         out = out.join(own.select(F.col("team").alias(side), "match_id", *[F.col(c).alias(f"{p}_{c}" if c != "rest" else f"rest_{p}") for c in ("gf5", "ga5", "form5", "rest", "sot")]), [side, "match_id"])
     out = out.join(rated.select("match_id", (F.col("elo_h") - F.col("elo_a")).alias("elo_diff"), "exp_h"), "match_id").join(form.head_to_head(m), "match_id")
@@ -85,10 +86,15 @@ def three(scored: DataFrame) -> DataFrame:
 
 def evaluated(scored: DataFrame, name: str) -> DataFrame:
     """(model, n, accuracy, logloss) of three-way probabilities p0..p2 against label."""
+    return evaluated_by(scored).select(F.lit(name).alias("model"), "*")
+
+
+def evaluated_by(scored: DataFrame, *keys: str) -> DataFrame:
+    """(keys.., n, accuracy, logloss), a row for each value of the keys."""
     own = F.when(F.col("label") == 0, F.col("p0")).when(F.col("label") == 1, F.col("p1")).otherwise(F.col("p2"))
     best = F.greatest("p0", "p1", "p2")
     hit = F.when(F.col("p0") == best, 0.0).when(F.col("p1") == best, 1.0).otherwise(2.0) == F.col("label")
-    return scored.agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("accuracy"), F.avg(-F.log(F.greatest(own, F.lit(1e-9)))).alias("logloss")).select(F.lit(name).alias("model"), "*")
+    return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("accuracy"), F.avg(-F.log(F.greatest(own, F.lit(1e-9)))).alias("logloss"))
 
 
 def ablation(rows: DataFrame, base: list[str], extra: list[str], adopt_below: float = -0.001) -> DataFrame:
@@ -101,7 +107,7 @@ def ablation(rows: DataFrame, base: list[str], extra: list[str], adopt_below: fl
 
 def tuned(rows: DataFrame, cols: list[str], penalties: list[float], k: int = 4) -> DataFrame:
     """(penalty, fold, logloss) on expanding time folds."""
-    folds = form.expanding_folds(rows.select("match_id", "date"), k).join(rows, "match_id").persist()
+    folds = stored(form.expanding_folds(rows.select("match_id", "date"), k).join(rows, "match_id"))
     out = None
     for fold in range(1, k + 1):
         train, test = (folds.where((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "test"))
@@ -109,3 +115,38 @@ def tuned(rows: DataFrame, cols: list[str], penalties: list[float], k: int = 4)
             one = evaluated(three(logistic(cols, penalty=p).fit(train).transform(test)), str(p)).select(F.lit(p).alias("penalty"), F.lit(fold).alias("fold"), "logloss")
             out = one if out is None else out.unionByName(one)
     return out
+
+
+def blocked(rows: DataFrame, folds: int = 4) -> DataFrame:
+    """`rows` with block: 0 for what every fold learns from, then 1 to `folds` for the last equal blocks in order of time."""
+    n = form.numbered(rows.select("match_id", "date")).join(rows.agg(F.count("*").alias("all")), how="cross")  # one row
+    size = F.greatest(F.expr(f"all div {folds + 1}"), F.lit(1))
+    block = F.greatest(F.floor((F.col("n") - 1 - (F.col("all") - folds * size)) / size) + 1, F.lit(0))
+    return rows.join(n.select("match_id", block.cast("int").alias("block")), "match_id")
+
+
+def search(rows: DataFrame, cols: list[str], candidates: list, folds: int = 4) -> DataFrame:
+    """(place, rounds, depth, rate, l2, least, gain, share, folds, logloss, best): boosted candidates by their mean log-loss on
+    expanding time folds; all candidates and folds grow in the same passes."""
+    edges = boosting.cut_points(rows, cols)
+    table = boosting.packed(blocked(rows, folds), cols, edges, block="block")
+    found = boosting.searched(table, cols, edges, candidates, folds)
+    out = [(k + 1, p.rounds, p.depth, p.rate, p.l2, p.least, p.gain, p.share, n, float(loss), k == 0) for k, (p, loss, n) in enumerate(found)]  # a row a candidate
+    return rows.sparkSession.createDataFrame(out, "place int, rounds int, depth int, rate double, l2 double, least double, gain double, share double, folds int, logloss double, best boolean")
+
+
+def gate(rows: DataFrame, base: list[str], extra: list[str], windows: int = 5, helped: int = 4, below: float = -0.001, params=None) -> DataFrame:
+    """(win, n, base, with, delta, verdict): one configuration with and without `extra` on the last `windows` equal windows, each
+    learned from all before it.  Adopt if the mean of the differences is below `below` and at least `helped` windows gain."""
+    params = params or boosting.Params(rounds=10, depth=3, rate=0.25)
+    cut = stored(blocked(rows, windows))
+    losses = []
+    for cols in (base, base + extra):
+        edges = boosting.cut_points(cut, cols)
+        each = [boosting.Params(**{**vars(params), "fold": f}) for f in range(1, windows + 1)]
+        losses.append([m.curve[-1][2:] for m in boosting.fit_many(boosting.packed(cut, cols, edges, block="block"), cols, edges, each)])
+    pairs = [(w + 1, int(a[0]), a[1] / a[0], b[1] / b[0]) for w, (a, b) in enumerate(zip(*losses)) if a[0]]
+    deltas = [y - x for _, _, x, y in pairs]
+    adopt = bool(deltas) and sum(deltas) / len(deltas) < below and sum(d < 0 for d in deltas) >= helped
+    out = [(w, n, float(x), float(y), float(y - x), "adopt" if adopt else "reject") for w, n, x, y in pairs]  # a row a window
+    return rows.sparkSession.createDataFrame(out, "win int, n long, base double, with double, delta double, verdict string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -129,6 +131,22 @@ def bootstrap(spark, d):
     return rounded(metrics.bootstrap(graded(spark, d), "match_id", F.col("logloss")))
 
 
+#: Upper edges of the Poisson(1) weights 0 to 7.
+EDGES = [sum(math.exp(-1) / math.factorial(k) for k in range(n)) for n in range(1, 9)]
+
+
+@query("d15_paired_bootstrap", GRADED_SQL + f"""
+, x AS (SELECT match_id, -ln(own) + ln(greatest(mkt, 1e-9)) AS diff FROM gr),
+u AS (SELECT rep, diff, CAST('0x' || substr(md5(match_id || ':' || rep), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM x, range(100) AS r(rep)),
+w AS (SELECT rep, diff, {' + '.join(f'(u >= {e!r}::DOUBLE)::INTEGER' for e in EDGES)} AS w FROM u),
+reps AS (SELECT rep, sum(diff * w) / sum(w) AS mean FROM w GROUP BY rep)
+SELECT (SELECT count(*) FROM x) AS n, {r6_sql('(SELECT avg(diff) FROM x)')} AS mean, {r6_sql('quantile_cont(mean, 0.025)')} AS low, {r6_sql('quantile_cont(mean, 0.975)')} AS high, {r6_sql('avg((mean < 0)::INTEGER)')} AS p_better FROM reps""")
+def paired_bootstrap(spark, d):
+    """The model's log-loss less the market's: interval and chance that the model is better."""
+    mkt = F.when(F.col("result") == "H", F.col("kh")).when(F.col("result") == "D", F.col("kd")).otherwise(F.col("ka"))
+    return rounded(metrics.paired_bootstrap(graded(spark, d), "match_id", F.col("logloss"), -F.log(F.greatest(mkt, F.lit(1e-9)))))
+
+
 @query("d16_gap_distribution", M_SQL + f", g AS (SELECT team, date - lag(date) OVER (PARTITION BY team ORDER BY date, match_id) AS gap FROM tm) SELECT count(gap) AS n, {r6_sql('quantile_cont(gap, 0.99)')} AS p99, max(gap)::INTEGER AS longest, count(*) FILTER (WHERE gap > 60) AS returns FROM g")
 def gap_distribution(spark, d):
     return rounded(metrics.gaps(team_matches(matches(spark, d))).agg(F.count("gap").alias("n"), F.percentile("gap", 0.99).alias("p99"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > 60).alias("returns")))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -18,3 +19,10 @@ def shared_base(spark: SparkSession) -> str:
             base = tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(base)
     return sc.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: computed once, and safe from lost executors."""
+    path = f"{shared_base(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
