@@ -26,7 +26,19 @@ GENERIC = (
     "borussia", "bayer", "fortuna", "victoria", "concordia", "academy", "wanderers", "rovers", "albion", "county", "juniors", "young", "red", "star", "national", "central", "north", "south", "east",
     "west", "new", "san", "santa", "saint", "st", "deportivo", "universidad", "universitatea")
 #: Words that say nothing about a name.
-STOP_WORDS = ("de", "of", "the", "and")
+STOP_WORDS = (
+    "fc", "cf", "sc", "ac", "as", "afc", "cd", "ca", "ss", "us", "sv", "sk", "fk", "nk", "hnk", "if", "bk", "ol", "rc", "sd", "ud", "club", "de", "cp",
+    "sl", "rsc", "bc", "sp", "the", "1", "bsc", "vfb", "vfl", "tsg", "aj")
+#: Abbreviated tokens and what they stand for.
+EXPANSIONS = {"wolves": "wolverhampton", "spurs": "tottenham", "man": "manchester", "utd": "united", "nott": "nottingham"}
+#: Names whose tokens differ from source to source, and the other source's name.
+ALIASES = {
+    "QPR": "Queens Park Rangers", "West Brom": "West Bromwich", "Sheffield Weds": "Sheffield Wednesday", "Ath Madrid": "Atletico Madrid", "Ath Bilbao": "Athletic Bilbao",
+    "Paris SG": "Paris Saint-Germain", "Sp Lisbon": "Sporting CP", "Sp Braga": "Braga", "Sp Gijon": "Sporting Gijon", "Ein Frankfurt": "Eintracht Frankfurt", "Espanol": "Espanyol",
+    "St Etienne": "Saint Etienne", "Buyuksehyr": "Istanbul Basaksehir", "Hearts": "Heart of Midlothian", "St Truiden": "Sint-Truiden", "AEK": "AEK Athens", "PAOK": "PAOK",
+    "Rennes": "Stade Rennais", "Brest": "Stade Brestois", "For Sittard": "Fortuna Sittard", "Goztep": "Goztepe", "Hamburg": "Hamburger SV", "St. Gilloise": "Union Saint-Gilloise",
+    "Waasland-Beveren": "Waasland Beveren", "Ad. Demirspor": "Adana Demirspor", "Akhisar Belediyespor": "Akhisar", "M'gladbach": "Borussia Monchengladbach",
+    "Fortuna Dusseldorf": "Fortuna Dusseldorf", "Nott'm Forest": "Nottingham Forest", "Sheffield United": "Sheffield United", "Vallecano": "Rayo Vallecano"}
 
 
 def _decomposed() -> tuple[str, str, dict[str, str]]:
@@ -62,7 +74,7 @@ def _words_fold(c: Column) -> Column:
     kept = [(odd, plain) for odd, plain in zip(ACCENTED, PLAIN) if plain.isalnum()]
     spelled = _spelled(c, {odd: plain for odd, plain in {**TRANSLITERATED, **LIGATURES}.items() if plain.isalnum()})
     folded = F.translate(spelled, "".join(odd for odd, _ in kept), "".join(plain for _, plain in kept))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
 
 
 def squash(c: Column) -> Column:
@@ -110,12 +122,19 @@ def candidates(c: Column, alias: Column | None = None) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
-def token_set(c: Column, expand: Column | None = None) -> Column:
-    """Distinct tokens of two or more letters that are no stop-words; `expand`, a map, spells out abbreviations."""
-    out = F.filter(tokens(c), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
-    if expand is not None:
-        out = F.transform(out, lambda t: F.coalesce(expand[t], t))
-    return F.array_sort(F.array_distinct(out))
+def as_map(entries: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+
+
+def aliased(c: Column, aliases: dict[str, str] = ALIASES) -> Column:
+    """The other source's name for a name that has one, else the name."""
+    return F.coalesce(F.try_element_at(as_map(aliases), c), c)
+
+
+def token_set(c: Column, expansions: dict[str, str] = EXPANSIONS) -> Column:
+    """Distinct tokens of two or more letters or digits that are no stop-words, abbreviations spelled out, in order."""
+    words = F.filter(F.split(F.lower(_words_fold(c)), "[^a-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+    return F.array_sort(F.array_distinct(F.transform(words, lambda t: F.coalesce(F.try_element_at(as_map(expansions), t), t))))
 
 
 #: The Chaldean letter table, letters by their value from 1 to 8.

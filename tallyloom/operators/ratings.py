@@ -58,7 +58,7 @@ def _replay(base: float, home_edge: float, digits: tuple[int, int] | None):
             if digits:
                 nh, na = (math.floor(x * 10 ** digits[0] + 0.5) / 10 ** digits[0] for x in (nh, na))
             rating[h], rating[a] = nh, na
-            out[i] = eh, ea, exp, nh, na
+            out[i] = eh, ea, math.floor(exp * 10 ** digits[1] + 0.5) / 10 ** digits[1] if digits else exp, nh, na
         return pd.DataFrame({"match_id": pdf["match_id"].to_numpy(), **{c: out[:, i] for i, c in enumerate(("elo_h", "elo_a", "exp_h", "elo_h_post", "elo_a_post"))}})
 
     return run
@@ -68,7 +68,8 @@ def replay(m: DataFrame, weight: Column, score: Column | None = None, base: floa
     """Ratings before and after each played match of `m`.
 
     weight: K times the margin multiplier; score: 1, 0.5 or 0 for the home side unless given; edge: 1 where the home edge
-    counts, 0 where not; seeds: (team, seed) starting ratings; digits: rounding of stored ratings.
+    counts, 0 where not; seeds: (team, seed) starting ratings; digits: decimals of stored ratings, and of the
+    expectation that is given out (the step takes it unrounded).
     """
     score = score if score is not None else F.when(F.col("hg") > F.col("ag"), 1.0).when(F.col("hg") == F.col("ag"), 0.5).otherwise(0.0)
     played = m.where("hg is not null and ag is not null")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -56,14 +58,42 @@ def as_of(events: DataFrame, series: DataFrame, key: str, ts: str, value: str) -
 
 
 def valid_at(asked: DataFrame, periods: DataFrame, key: str) -> DataFrame:
-    """`asked` (key, day, qid) with the value of the period that covers the day, else of the latest period begun.
+    """`asked` (key, day, qid) with the value of the period that covers the day, else of the key's latest period.
 
-    periods: key, start, finish, value; the periods of a key are few.
+    periods: key, start, finish, value.  They may overlap or nest: of several that cover a day the one begun last counts, of
+    these the one that ends first.  Both sides go into one sort by key and day; a pass over each partition keeps the periods
+    that are still open, innermost on top, and drops those that a later one outlives, so it holds no more than are nested.
     """
-    joined = asked.join(periods, key, "left")
-    covers = (F.col("start") <= F.col("day")) & (F.col("day") <= F.col("finish"))
-    pick = F.max_by("value", F.struct(covers.cast("int"), F.col("start")))
-    return joined.groupBy("qid", key, "day").agg(pick.alias("value"), F.coalesce(F.max(covers), F.lit(False)).alias("exact"))
+    cols = [c for c in asked.columns if c not in (key, "day")]
+    kinds = dict(asked.dtypes), dict(periods.dtypes)
+    left = periods.select(key, F.col("start").alias("day"), F.lit(0).alias("_kind"), F.col("finish").alias("_finish"), F.col("value").alias("_value"), *[F.lit(None).cast(kinds[0][c]).alias(c) for c in cols])
+    right = asked.select(key, "day", F.lit(1).alias("_kind"), F.lit(None).cast(kinds[1]["finish"]).alias("_finish"), F.lit(None).cast(kinds[1]["value"]).alias("_value"), *cols)
+    both = left.unionByName(right).repartition(key).sortWithinPartitions(key, "day", "_kind", F.desc("_finish"))
+    schema = T.StructType([both.schema[key], both.schema["day"], *[both.schema[c] for c in cols], T.StructField("value", both.schema["_value"].dataType), T.StructField("exact", T.BooleanType())])
+
+    def sweep(batches):
+        now, open_ = object(), []
+        for batch in batches:
+            taken, values, exact = [], [], []
+            for n, (k, day, kind, finish, value) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "day", "_kind", "_finish", "_value")))):
+                if k != now:
+                    now, open_ = k, []
+                while open_ and open_[-1][0] < day:
+                    open_.pop()
+                if kind == 0 and finish is not None and finish >= day:
+                    while open_ and open_[-1][0] <= finish:
+                        open_.pop()
+                    open_.append((finish, value))
+                elif kind == 1:
+                    taken.append(n)
+                    values.append(open_[-1][1] if open_ else None)
+                    exact.append(bool(open_))
+            rows = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(key), rows.column("day"), *[rows.column(c) for c in cols], pa.array(values, batch.schema.field("_value").type), pa.array(exact)], [key, "day", *cols, "value", "exact"])
+
+    last = periods.groupBy(key).agg(F.max_by("value", F.struct("start", "finish")).alias("_last"))
+    found = both.mapInArrow(sweep, schema).join(last, key, "left")
+    return found.select(*asked.columns, F.when(F.col("exact"), F.col("value")).otherwise(F.col("_last")).alias("value"), "exact")
 
 
 #: What an unseen team is taken to be.

@@ -291,18 +291,37 @@ def name_keys(spark, d):
     return p.select("p_partkey", names.squash(n).alias("squash"), names.core_key(n).alias("core"), names.sorted_key(n).alias("sorted"))
 
 
-@query("h6_token_set", KEYS_SQL + "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(tok, lambda x: CASE WHEN x = 'part' THEN 'piece' ELSE x END), lambda x: length(x) >= 2))), ' ') AS tokens FROM t")
+#: Names that sources write differently: each part takes one of the aliases or abbreviations before its own name.
+ODD_NAMES = [*names.ALIASES, *[f"{short.title()} Utd of the" for short in names.EXPANSIONS]]
+ODD_SQL = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in ODD_NAMES) + f"][p_partkey % {len(ODD_NAMES)} + 1]"
+
+
+def odd_name():
+    return F.element_at(F.array(*map(F.lit, ODD_NAMES)), (F.col("p_partkey") % len(ODD_NAMES) + 1).cast("int"))
+
+
+def map_sql(entries: dict[str, str]) -> str:
+    return "MAP {" + ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in entries.items()) + "}"
+
+
+def token_set_sql(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in names.STOP_WORDS)
+    kept = f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({stop}))"
+    return f"list_sort(list_distinct(list_transform({kept}, lambda t: coalesce({map_sql(names.EXPANSIONS)}[t], t))))"
+
+
+@query("h6_token_set", f"SELECT p_partkey, array_to_string({token_set_sql(ODD_SQL + " || ' ' || p_name")}, ' ') AS tokens FROM part")
 def token_set(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.array_join(names.token_set(F.col("p_name"), F.create_map(F.lit("part"), F.lit("piece"))), " ").alias("tokens"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(names.token_set(F.concat_ws(" ", odd_name(), "p_name")), " ").alias("tokens"))
 
 
-@query("h7_alias_lookup", """
-SELECT c_custkey, coalesce(a.full_name, c_mktsegment) AS segment FROM customer
-LEFT JOIN (VALUES ('BUILDING', 'Construction'), ('AUTOMOBILE', 'Cars')) a(alias, full_name) ON alias = c_mktsegment""")
+@query("h7_alias_lookup", f"""
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE {ODD_SQL} END AS name FROM part)
+SELECT p_partkey, name, coalesce({map_sql(names.ALIASES)}[name], name) AS full_name FROM n""")
 def alias_lookup(spark, d):
-    alias = spark.createDataFrame([("BUILDING", "Construction"), ("AUTOMOBILE", "Cars")], "alias string, full_name string")
-    c = table(spark, d, "customer")
-    return c.join(F.broadcast(alias), c["c_mktsegment"] == alias["alias"], "left").select("c_custkey", F.coalesce("full_name", "c_mktsegment").alias("segment"))  # two rows
+    """Names by the alias table; a name that has no alias is its own."""
+    name = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise(odd_name())
+    return table(spark, d, "part").select("p_partkey", name.alias("name")).withColumn("full_name", names.aliased(F.col("name")))
 
 
 ROOT = "CASE WHEN {x} <= 9 OR {x} IN ({m}) THEN {x} ELSE list_sum(list_transform(string_split({x}::VARCHAR, ''), lambda c: c::BIGINT)) END"

@@ -9,6 +9,7 @@ from ..functions.names import GENERIC, LOOSE_TOKENS, TRIMMED, candidates, loose_
 from ..operators import resolve, settle
 from ..operators.ratings import expected_score
 from ..sources.matches import matches, team_matches
+from .expressions import token_set_sql
 from .registry import M_SQL, query, r6_sql, rounded, table
 
 CUT = "1998-01-01"
@@ -157,7 +158,7 @@ def unordered_pairs(spark, d):
     return matches(spark, d).groupBy(F.least("home", "away").alias("lo"), F.greatest("home", "away").alias("hi")).agg(F.count("*").alias("n"), F.min("date").alias("first"))
 
 
-TOKENS_SQL = "list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array({x}, '[\\s\\-./]+'), lambda t: regexp_replace(lower(t), '[^a-z0-9]', '', 'g')), lambda t: length(t) >= 2 AND t NOT IN ('de', 'of', 'the', 'and'))))"
+TOKENS_SQL = token_set_sql("{x}").replace("{'", "{{'").replace("'}", "'}}")
 
 
 @query("c10_token_containment", f"""
@@ -231,7 +232,7 @@ g AS (SELECT name, count(*) AS n, count(*) FILTER (WHERE region IN (SELECT n_nam
 SELECT name, CASE WHEN n = 1 THEN anyone WHEN ng = 1 THEN one END AS known_id FROM asked LEFT JOIN g USING (name)""")
 def region_preference(spark, d):
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    good = [r[0] for r in n.where("n_nationkey < 8").select("n_name").distinct().collect()]  # eight names
+    good = n.where("n_nationkey < 8").select(F.col("n_name").alias("region")).distinct()
     known = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("known_id"), F.concat(F.lit("club"), F.col("s_suppkey") % 40).alias("key"), F.col("n_name").alias("region"), loose_keys(F.concat(F.lit("Club "), F.col("s_suppkey") % 40)).alias("loose"))
     asked = s.select(F.explode(F.array(F.concat(F.lit("Club "), F.col("s_suppkey") % 50), F.concat(F.lit("SK Club "), F.col("s_suppkey") % 60))).alias("name")).distinct()
     return resolve.by_region(asked, known, good)

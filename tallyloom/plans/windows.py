@@ -110,11 +110,11 @@ def rating_replay(spark, d):
     return rounded(club_ratings(spark, d))
 
 
-@query("e10_seeded_replay", replay_sql(f"20 * {MARGIN}", edge="100.0", keep="floor(x * 10 + 0.5) / 10", seed="1400 + 10 * i") + RATED)
+@query("e10_seeded_replay", replay_sql(f"20 * {MARGIN}", edge="100.0", keep="floor(x * 10 + 0.5) / 10", seed="1400 + 10 * i") + RATED.replace(r6_sql("ex"), r6_sql("floor(ex * 10000 + 0.5) / 10000")))
 def seeded_replay(spark, d):
     m = matches(spark, d)
     seeds = team_matches(m).select("team").distinct().select("team", (1400 + 10 * (F.col("team") % 100)).cast("double").alias("seed"))
-    return rounded(ratings.replay(m, weight(F.lit(20)), base=1400.0, home_edge=100.0, seeds=seeds, digits=(1, 1)))
+    return rounded(ratings.replay(m, weight(F.lit(20)), base=1400.0, home_edge=100.0, seeds=seeds, digits=(1, 4)))
 
 
 @query("e11_shot_rating", replay_sql("20 * CASE WHEN abs(hst - ast) / 2.2 <= 1 THEN 1.0::DOUBLE ELSE ln(abs(hst - ast) / 2.2 + 1) * 0.75 END", where="hst IS NOT NULL").replace("CASE WHEN hg > ag THEN 1.0::DOUBLE WHEN hg = ag THEN 0.5 ELSE 0 END AS s", "CASE WHEN hst > ast THEN 1.0::DOUBLE WHEN hst = ast THEN 0.5 ELSE 0 END AS s") + RATED)
