@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import loose_keys, squash
+from .storage import stored
+
 from ..functions.calendar import day_month_year
 
 CLUB_SCHEMA = "Div string, AltDiv string, Date string, HomeTeam string, AwayTeam string, FTHG string, FTAG string, HST string, AST string"
@@ -77,6 +80,36 @@ def ranking_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.select("page_id", "at", pick(1).alias("href"), pick(2).alias("label"))
 
 
+def ranking_clubs(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(page_id, at, name, api, country, rating): the rows of ranking tables that have a rating, a country and a name.
+
+    A row's rating is the last of its right-aligned cells of three or four digits; its country is the link of three capitals;
+    its own link, if there is one, is the first other.
+    """
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?s)<tr>(.*?)</tr>"), F.lit(1))).alias("at", "row"))
+    links = F.regexp_extract_all("row", F.lit('<a href="/([A-Za-z0-9]+)">'), F.lit(1))
+    cells = F.regexp_extract_all("row", F.lit(r'<td class="r">\s*(\d{3,4})\s*</td>'), F.lit(1))
+    rows = rows.select("page_id", "at", cells.alias("cells"), links.alias("links"), F.regexp_extract("row", '<a href="/([A-Z]{3})">', 1).alias("country"), F.trim(F.regexp_extract("row", '<span class="(?:Ast|min641)">([^<]+)</span>', 1)).alias("name"))
+    rows = rows.where((F.size("cells") > 0) & (F.col("country") != "") & (F.col("name") != ""))
+    return rows.select("page_id", "at", "name", F.get(F.filter("links", lambda x: x != F.col("country")), 0).alias("api"), "country", F.element_at("cells", -1).cast("int").alias("rating"))
+
+
+def enough(rows: DataFrame, name: str = "name", least: int = 500) -> DataFrame:
+    """`rows`, stored, if they hold at least `least` different names; else the pages' layout has changed, and nothing is returned."""
+    kept = stored(rows)
+    n = kept.agg(F.count_distinct(name)).first()[0]
+    if n < least:
+        raise ValueError(f"pages gave {n} names, fewer than {least}: has their layout changed?")
+    return kept
+
+
+def club_keys(clubs: DataFrame) -> DataFrame:
+    """(key, kind, name, api, country, rating): each club under its exact keys (name and link) and its loose ones."""
+    exact, loose = F.array(squash(F.col("name")), squash(F.coalesce("api", F.lit("")))), loose_keys(F.col("name"))
+    each = lambda keys, kind: F.transform(F.array_distinct(F.filter(keys, lambda k: k != "")), lambda k: F.struct(k.alias("key"), F.lit(kind).alias("kind")))
+    return clubs.select(F.explode(F.concat(each(exact, "exact"), each(loose, "loose"))).alias("k"), "name", "api", "country", "rating").select("k.*", "name", "api", "country", "rating")
+
+
 def daily(weather: DataFrame, text: str = "body") -> DataFrame:
     """One row a day from parallel arrays."""
     schema = "time array<string>, temp array<double>, wind array<double>"
@@ -84,9 +117,17 @@ def daily(weather: DataFrame, text: str = "body") -> DataFrame:
     return d.select("place", F.explode(F.arrays_zip("time", "temp", "wind")).alias("x")).select("place", F.to_date("x.time").alias("date"), "x.temp", "x.wind")
 
 
+SLATE = "date date, n long, unrated long, n_anchored long, competitions array<string>, matches array<struct<match_id: long, home: long, away: long, stage: string, anchored: boolean>>, unrated_list array<struct<match_id: long, home: long, away: long>>"
+
+
 def sink_slate(matches: DataFrame, path: str) -> None:
-    """One nested JSON document a day: n, competitions and the matches in order of their id."""
-    nested = matches.groupBy("date").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("stage")).alias("competitions"), F.array_sort(F.collect_list(F.struct("match_id", "home", "away", "stage"))).alias("matches"))
+    """One nested JSON document a day: the rated matches (n, of which n_anchored have prices; their competitions), in order
+    of their id, and those that aren't.  matches: match_id, date, home, away, stage, anchored, rated."""
+    rated, anchored = F.col("rated"), F.col("anchored")
+    row = F.struct("match_id", "home", "away", "stage", "anchored")
+    nested = matches.groupBy("date").agg(
+        F.count_if(rated).alias("n"), F.count_if(~rated).alias("unrated"), F.count_if(rated & anchored).alias("n_anchored"), F.array_sort(F.collect_set(F.when(rated, F.col("stage")))).alias("competitions"),
+        F.array_sort(F.collect_list(F.when(rated, row))).alias("matches"), F.array_sort(F.collect_list(F.when(~rated, F.struct("match_id", "home", "away")))).alias("unrated_list"))
     nested.write.mode("overwrite").json(path)
 
 
@@ -94,3 +135,10 @@ def first_writes(log: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows to append: those whose key is not logged, each key once (its smallest pid)."""
     fresh = new.join(log.select(*key).distinct(), key, "left_anti")
     return fresh.groupBy(*key).agg(F.min_by(F.struct(*[c for c in new.columns if c not in key]), "pid").alias("_r")).select(*key, "_r.*")
+
+
+def discovered(names: DataFrame, text: str = "", kind: str = "all", limit: int = 50) -> DataFrame:
+    """(name, kind, count): the first `limit` names (name, kind) of a kind that hold a text, whatever their case, with their
+    number before the limit."""
+    found = names.where(F.contains(F.lower("name"), F.lit(text.lower())) & (F.lit(kind == "all") | (F.col("kind") == kind)))
+    return found.orderBy("name", "kind").limit(limit).join(found.agg(F.count("*").alias("count")), how="cross")  # one row
