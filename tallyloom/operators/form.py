@@ -54,10 +54,21 @@ def cards_form(tm: DataFrame) -> DataFrame:
     return tm.select("team", "match_id", before("cards", 5).alias("cards5"), before("cards", 10).alias("cards10"))
 
 
-def referee_form(m: DataFrame, n: int = 40) -> DataFrame:
-    """A referee's mean cards over up to n earlier matches and their number; matches without a referee have neither."""
-    spec = W.partitionBy("referee").orderBy("date", "match_id")
-    named = m.where("referee is not null").select("match_id", before("cards", n, spec).alias("ref_avg"), F.count("*").over(spec.rowsBetween(W.unboundedPreceding, -1)).alias("ref_n"))
+def referee_form(m: DataFrame, n: int = 40, chunk: int = 10_000) -> DataFrame:
+    """A referee's mean cards over up to n earlier matches and their number; matches without a referee have neither.
+
+    Few referees have many matches, so a referee is no unit of work: matches are numbered within a day and shifted by the
+    days before, and windows run over chunks of `chunk` matches, each with the last n of the chunk before as its context.
+    """
+    rows = m.where("referee is not null").select("match_id", "date", "referee", "cards")
+    days = rows.groupBy("referee", "date").agg(F.count("*").alias("k"))
+    starts = days.select("referee", "date", (F.sum("k").over(W.partitionBy("referee").orderBy("date")) - F.col("k")).alias("start"))  # a row a referee and day
+    placed = rows.join(starts, ["referee", "date"]).withColumn("ref_n", F.col("start") + F.row_number().over(W.partitionBy("referee", "date").orderBy("match_id")) - 1)
+    own = F.expr(f"ref_n div {chunk}")
+    parts = F.when(F.col("ref_n") % chunk >= chunk - n, F.array(own, own + 1)).otherwise(F.array(own))
+    spread = placed.select("match_id", "referee", "cards", "ref_n", own.alias("own"), F.explode(parts).alias("part"))
+    seen = spread.withColumn("ref_avg", before("cards", n, W.partitionBy("referee", "part").orderBy("ref_n")))
+    named = seen.where("part = own").select("match_id", "ref_avg", F.col("ref_n").cast("long").alias("ref_n"))
     return named.unionByName(m.where("referee is null").select("match_id", F.lit(None).cast("double").alias("ref_avg"), F.lit(0).cast("long").alias("ref_n")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import LOOSE_TOKENS, core_key, loose_keys, squash, token_set
+from ..sources.storage import stored
 from .settle import best_first
 
 
@@ -42,17 +43,26 @@ SHORTEST = 4
 
 
 def _contained(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of core keys (core, known_core), one within the other, known ones of four letters or more.
+    """Pairs of core keys (core, known_core): known ones of four letters or more within an asked one, and longer known ones
+    around an asked one of more than eight letters.
 
     They meet in the first eight letters of the inner key, so a join is on equal anchors, never on all pairs.
     """
     asked, known = asked.distinct(), known.where(F.length("known_core") >= SHORTEST).distinct()
     head = lambda c: F.substring(c, 1, ANCHOR)
     outer = asked.withColumn("a", F.explode(_grams(F.col("core"), SHORTEST, ANCHOR))).join(known.withColumn("a", head("known_core")), "a").where(F.contains("core", "known_core"))
-    inner = asked.withColumn("a", head("core")).join(known.withColumn("a", F.explode(_grams(F.col("known_core"), 1, ANCHOR))), "a").where(F.contains("known_core", "core"))
+    long_ = asked.where(F.length("core") > ANCHOR).withColumn("a", head("core"))
+    inner = long_.join(known.withColumn("a", F.explode(_grams(F.col("known_core"), ANCHOR, ANCHOR))), "a").where(F.contains("known_core", "core"))
     return outer.select("core", "known_core").union(inner.select("core", "known_core")).distinct()
 
 
+def _around(have: DataFrame) -> DataFrame:
+    """(core, n, known_name): for each text of up to eight letters, how many known names have it inside a longer core key, and
+    the first of them.  Short texts are in many names, so they are counted, never paired."""
+    grams = have.where(F.length("known_core") >= SHORTEST).select("known_name", "known_core", F.explode(_grams(F.col("known_core"), 1, ANCHOR)).alias("core"))
+    return grams.where(F.length("core") < F.length("known_core")).groupBy("core").agg(F.count("*").alias("n"), F.min("known_name").alias("known_name"))
+
+
 def unique_or_refuse(names: DataFrame, known: DataFrame, alias: DataFrame | None = None, drop=LOOSE_TOKENS) -> DataFrame:
     """(name, known_name, stage): the known name that a name's spellings refer to, or null.
 
@@ -62,9 +72,9 @@ def unique_or_refuse(names: DataFrame, known: DataFrame, alias: DataFrame | None
     """
     spellings = F.col("spellings") if "spellings" in names.columns else F.array("name")
     asked = names.select("name", F.posexplode(spellings).alias("pos", "spelling")).where("spelling is not null")
-    asked = asked.withColumns({"full": squash(F.col("spelling")), "core": core_key(F.col("spelling"), drop)})
+    asked = stored(asked.withColumns({"full": squash(F.col("spelling")), "core": core_key(F.col("spelling"), drop)}))
     have = known.select("known_name").where("known_name is not null").distinct()
-    have = have.withColumns({"known_full": squash(F.col("known_name")), "known_core": core_key(F.col("known_name"), drop)})
+    have = stored(have.withColumns({"known_full": squash(F.col("known_name")), "known_core": core_key(F.col("known_name"), drop)}))
 
     def unique(pairs: DataFrame, stage: int) -> DataFrame:
         hits = pairs.groupBy("name", "pos").agg(F.countDistinct("known_name").alias("n"), F.min("known_name").alias("known_name"))
@@ -73,7 +83,10 @@ def unique_or_refuse(names: DataFrame, known: DataFrame, alias: DataFrame | None
     full = unique(asked.join(have, F.col("full") == F.col("known_full")).where("full <> ''"), 2)
     core = unique(asked.join(have, F.col("core") == F.col("known_core")).where("core <> ''"), 3)
     within = _contained(asked.select("core").where("core <> ''"), have.select("known_core"))
-    found = full.unionByName(core).unionByName(unique(asked.join(within, "core").join(have, "known_core"), 4))
+    paired = asked.join(within, "core").join(have, "known_core").groupBy("name", "pos").agg(F.countDistinct("known_name").alias("n"), F.min("known_name").alias("known_name"))
+    counted = asked.where(F.length("core") <= ANCHOR).join(_around(have), "core").select("name", "pos", "n", "known_name")
+    loose = paired.unionByName(counted).groupBy("name", "pos").agg(F.sum("n").alias("n"), F.min("known_name").alias("known_name"))
+    found = full.unionByName(core).unionByName(loose.where("n = 1").select("name", "pos", "known_name", F.lit(4).alias("stage")))
     if alias is not None:
         by_alias = asked.join(alias.select(F.col("alias").alias("spelling"), "known_name"), "spelling").join(have, "known_name", "left_semi")
         found = found.unionByName(by_alias.select("name", "pos", "known_name", F.lit(1).alias("stage")))
