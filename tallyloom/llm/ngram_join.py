@@ -258,9 +258,10 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataF
             yield pdf.loc[keep, ["a", "b"]]
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    # texts of copies compress so well that Spark would take them for small: they are merged at every size, never broadcast
     texts = texts.join(ends, "node", "left_semi")
-    wide = pairs.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("y"), F.col("sig").alias("q")), "b")
-    wide = wide.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("x"), F.col("sig").alias("p")), "a")
+    wide = pairs.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("y"), F.col("sig").alias("q")).hint("merge"), "b")
+    wide = wide.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("x"), F.col("sig").alias("p")).hint("merge"), "a")
     return wide.select("a", "b", "x", "p", "y", "q").mapInPandas(run, "a long, b long")
 
 
