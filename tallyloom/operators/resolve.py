@@ -100,12 +100,15 @@ def first_candidate(names: DataFrame, known: DataFrame, candidates) -> DataFrame
     return best_first(rows, ["name"], F.col("at")).select("name", "known_name", "at")
 
 
-def by_region(asked: DataFrame, known: DataFrame, preferred: DataFrame) -> DataFrame:
+def by_region(asked: DataFrame, known: DataFrame, preferred: DataFrame | list[str]) -> DataFrame:
     """(name, known_id): the one entity (known_id, key, region) of the name's key; several are settled by a preferred region, or refused.
 
-    preferred: (region).  If `known` has `loose`, an array of keys, names that no key fits are looked up once more by their loose keys.
+    preferred: a few names, or a table (region).  If `known` has `loose`, an array of keys, names that no key fits are looked up once more by their loose keys.
     """
-    known = known.join(preferred.distinct().withColumn("_good", F.lit(True)), "region", "left").withColumn("region", F.coalesce("_good", F.lit(False))).drop("_good")
+    if isinstance(preferred, list):
+        known = known.withColumn("region", F.col("region").isin(*preferred))
+    else:
+        known = known.join(preferred.distinct().withColumn("_good", F.lit(True)), "region", "left").withColumn("region", F.coalesce("_good", F.lit(False))).drop("_good")
     good = F.col("region")
     pairs = asked.select("name", squash(F.col("name")).alias("key")).join(known, "key").select("name", "known_id", "region", F.lit(1).alias("stage"))
     if "loose" in known.columns:
