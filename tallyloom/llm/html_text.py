@@ -11,12 +11,16 @@ with other containers and with sidebars, notices, forms, menus and comments put
 Extraction is a map over pages: nothing is shuffled, and a task holds one batch.
 
 Defined cases: a null or empty page has the empty text; unclosed and stray tags are tolerated; scripts, styles, comments and
-templates are never text; character references are decoded once; without any trainable page the starting rule decides.
+templates are never text; character references are decoded once; without any trainable page the starting rule decides; a
+column of the pages that has the result's name is replaced by it; repeated rows and ids are read row by row.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,22 +35,60 @@ EPOCHS = 6
 BLOCK = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 SILENT = frozenset("script style template noscript svg math iframe object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements that end an open one of their kind, and those that it may lie in without being kept open.
+SELF_ENDING = frozenset("p li dt dd tr td th option".split())
+LOOSE = frozenset("p dt dd td th".split())
 #: Elements and class words of boilerplate, for labelling training pages.
 BOILER_TAGS = frozenset("nav header footer aside form title button select label".split())
 BOILER_WORDS = frozenset("ad ads advert banner comment comments cookie footer header login menu modal nav newsletter notice promo related share sidebar social subscribe widget".split())
 
 
+class Path(NamedTuple):
+    """What a block's ancestors say: names of tags and class words, the block's own tag, the depth, and training labels.
+
+    An element shares its parent's names if it adds none, so deep nesting costs no copies of the ancestors.
+    """
+
+    names: frozenset = frozenset()
+    own: str = ""
+    depth: int = 0
+    main: bool = False
+    other: bool = False
+
+    @lru_cache(maxsize=1 << 14)
+    def child(self, tag: str, words: tuple, label: str | None) -> "Path":
+        shown = tag not in ("html", "body")
+        new = {f"class {w}" for w in words}
+        if shown:
+            new.add(f"in {tag}")
+        return Path(
+            self.names if self.names.issuperset(new) else self.names | new,
+            tag if shown and tag in BLOCK else self.own,
+            min(self.depth + shown, 6),
+            self.main or tag == "article" or label == "main",
+            self.other or label == "other" or tag in BOILER_TAGS or not BOILER_WORDS.isdisjoint(words),
+        )
+
+
+ROOT = Path()
+
+
 class Blocks(HTMLParser):
-    """Collects (path, text, linked characters) of each leaf block; path: (tag, class words, label) of the ancestors."""
+    """Collects (path, text, linked characters) of each leaf block, in time linear in the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple] = []
+        self.stack: list[tuple[str, Path]] = []
+        self.holders: list[int] = []  # places of block elements in the stack
+        self.open: Counter = Counter()
         self.silent = 0
         self.found: list[tuple] = []
         self.parts: list[str] = []
-        self.linked = self.links = 0
-        self.path: tuple = ()
+        self.linked = 0
+
+    @property
+    def path(self) -> Path:
+        return self.stack[-1][1] if self.stack else ROOT
 
     def _end_block(self):
         text = " ".join("".join(self.parts).split())
@@ -54,18 +96,22 @@ class Blocks(HTMLParser):
             self.found.append((self.path, text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _end_like(self, tag):
+        """Closes the nearest open element of this tag, unless another holder lies between."""
+        for i in reversed(self.holders):
+            own = self.stack[i][0]
+            if own == tag:
+                return self._close(i)
+            if own not in LOOSE:
+                return
+
     def handle_starttag(self, tag, attrs):
         if tag == "br":
             self.parts.append(" ")
         if tag in BLOCK:
             self._end_block()
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # these close their like
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == tag:
-                        self._close(i)
-                        break
-                    if self.stack[i][0] in BLOCK and self.stack[i][0] not in ("p", "dt", "dd", "td", "th"):
-                        break
+            if tag in SELF_ENDING and self.open[tag]:
+                self._end_like(tag)
         if tag in VOID:
             return
         words, label = (), None
@@ -74,10 +120,11 @@ class Blocks(HTMLParser):
                 words += tuple(value.lower().replace("-", " ").replace("_", " ").split())
             elif name == "data-label":
                 label = value
-        self.stack.append((tag, words, label))
+        if tag in BLOCK:
+            self.holders.append(len(self.stack))
+        self.stack.append((tag, self.path.child(tag, words, label)))
+        self.open[tag] += 1
         self.silent += tag in SILENT
-        self.links += tag == "a"
-        self.path = tuple(self.stack)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -85,26 +132,26 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def _close(self, i):
-        for tag, _, _ in self.stack[i:]:
+        for tag, _ in self.stack[i:]:
+            self.open[tag] -= 1
             self.silent -= tag in SILENT
-            self.links -= tag == "a"
         del self.stack[i:]
-        self.path = tuple(self.stack)
+        while self.holders and self.holders[-1] >= i:
+            self.holders.pop()
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self._end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._close(i)
-                return
+        if self.open[tag]:
+            i = len(self.stack) - 1
+            while self.stack[i][0] != tag:
+                i -= 1
+            self._close(i)
 
     def handle_data(self, data):
         if not self.silent:
-            if not self.parts or not "".join(self.parts).strip():
-                self.path = tuple(self.stack)
             self.parts.append(data)
-            if self.links:
+            if self.open["a"]:
                 self.linked += len(data.strip())
 
 
@@ -116,13 +163,8 @@ def blocks(html: str | None) -> list[tuple]:
     return parser.found
 
 
-def path_features(path: tuple) -> tuple[str, ...]:
-    tags = [t for t, _, _ in path if t not in ("html", "body")]
-    out = {f"in {t}" for t in tags} | {f"class {w}" for _, words, _ in path for w in words}
-    own = next((t for t in reversed(tags) if t in BLOCK), "")
-    out.add(f"own {own}")
-    out.add(f"depth {min(len(tags), 6)}")
-    return tuple(sorted(out))
+def path_features(path: Path) -> tuple[str, ...]:
+    return tuple(sorted(path.names | {f"own {path.own}", f"depth {path.depth}"}))
 
 
 def text_features(text: str, linked: int) -> tuple[str, ...]:
@@ -211,14 +253,9 @@ class Chain:
         return self
 
 
-def marked(path: tuple) -> int:
+def marked(path: Path) -> int:
     """The label of a block in a training page: inside an article or a labelled container, and in no boilerplate."""
-    inside = False
-    for tag, words, label in path:
-        if label == "other" or tag in BOILER_TAGS or BOILER_WORDS.intersection(words):
-            return 0
-        inside |= tag == "article" or label == "main"
-    return int(inside)
+    return int(path.main and not path.other)
 
 
 def variants(html: str, seed: int):
@@ -276,8 +313,8 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sam
     return chain
 
 
-def main_text(pages: DataFrame, chain: Chain, html_col: str = "html") -> DataFrame:
-    """`pages` with `text`, the main blocks joined by line ends; the other columns pass through."""
+def main_text(pages: DataFrame, chain: Chain, html_col: str = "html", out_col: str = "text") -> DataFrame:
+    """`pages` with `out_col`, the main blocks joined by line ends; a column of that name is replaced, the others pass through."""
     shared = pages.sparkSession.sparkContext.broadcast(chain)
 
     @F.pandas_udf("string")
@@ -288,7 +325,7 @@ def main_text(pages: DataFrame, chain: Chain, html_col: str = "html") -> DataFra
             out.append("\n".join(text for (_, text, _), main in zip(found, shared.value.decode(found)) if main))
         return pd.Series(out, dtype=object)
 
-    return pages.withColumn("text", extract(html_col))
+    return pages.withColumn(out_col, extract(html_col))
 
 
 def op9_html_text(spark, sf_dir: str) -> DataFrame:
