@@ -4,8 +4,8 @@
 2. A global histogram counts pieces by length: at most `context` rows, whatever the input.
 3. Dynamic programming over that histogram picks the `buckets` upper bounds with the least padding in all, when every piece
    is padded to its bucket's bound.  The cost has the quadrangle inequality, so each layer is solved by divide and conquer.
-4. Inside a bucket pieces are numbered without a gap: rows are dealt to shards by a hash, numbered within their shard, and
-   shifted by the shard's offset, so no bucket is ever sorted in one task.  floor(budget / bound) neighbours form a batch,
+4. Inside a bucket pieces are numbered without a gap: rows are dealt to shards by a number drawn for each row and stored with
+   it, numbered within their shard, and shifted by the shard's offset, so no bucket is ever sorted in one task, whatever the ids.  floor(budget / bound) neighbours form a batch,
    and only the last batch of a bucket can be short.
 
 Defined cases: a null or empty text has no words and makes one piece that is just the end token; rows are packed as they
@@ -25,6 +25,7 @@ CONTEXT = 4096
 BUDGET = 65_536
 BUCKETS = 16
 ROWS_PER_SHARD = 50_000
+SEED = 11
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -78,14 +79,14 @@ def pack(docs: DataFrame, tokens: Column, id_col: str = "doc_id", context: int =
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).alias("_id"), tokens.cast("long").alias("_n"))
     pieces = sized.select("_id", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / context))).alias("piece"))
-    pieces = cut(pieces.select("_id", "piece", (F.col("piece") * context).alias("start"), F.least(F.col("_n") - F.col("piece") * context, F.lit(context)).cast("int").alias("n_tokens")))
+    pieces = cut(pieces.select("_id", "piece", (F.col("piece") * context).alias("start"), F.least(F.col("_n") - F.col("piece") * context, F.lit(context)).cast("int").alias("n_tokens"), F.floor(F.rand(SEED) * (1 << 30)).cast("int").alias("salt")))
     histogram = pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()  # at most `context` rows
     bounds = best_bounds(np.array([r["n_tokens"] for r in histogram]), np.array([r["n"] for r in histogram]), buckets)
     total = sum(r["n"] for r in histogram)
     shards = max(4 * partitions(spark), total // ROWS_PER_SHARD)
 
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<int>"), lambda b: b < F.col("n_tokens")))
-    dealt = pieces.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("_id", "piece"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("bucket", bucket).withColumn("shard", F.pmod(F.xxhash64("salt", "_id", "piece"), F.lit(shards)).cast("int"))
     sizes = dealt.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     offsets = sizes.select("bucket", "shard", (F.sum("n").over(W.partitionBy("bucket").orderBy("shard")) - F.col("n")).alias("offset"))
     numbered = dealt.withColumn("nth", F.row_number().over(W.partitionBy("bucket", "shard").orderBy("_id", "piece", "n_tokens")) - 1)
