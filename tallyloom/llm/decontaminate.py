@@ -7,13 +7,15 @@
 2. Fingerprints of documents are joined with the distinct fingerprints of the items.
 3. Each hit is extended to all windows around it, and these are joined with the items' windows, word by word.
 4. Hit windows are merged into covered words by document.
+5. Windows that the same items hold share one key, made of sums over the items' hashes, so no window carries a list of items:
+   the distinct keys of a document are joined with the items of each key.
 
 The items' side is broadcast only if it has at most BROADCAST_ROWS rows; else both joins shuffle on fingerprint and window,
 where adaptive execution splits a hot one.  Positions are kept in 24 bits beside 40 bits of hash; a longer text gives each
 hit all its possible positions, and the exact join drops the false ones.
 
 Defined cases: null and word-less texts have no words and no hits; a null id is an id; rows repeating an id are judged row
-by row; items without words never match; further columns of the documents are left out of the result.
+by row; items without words never match; an item without an id hits words but is in no list of items; further columns of the documents are left out of the result.
 """
 
 from __future__ import annotations
@@ -75,12 +77,17 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row a document: its id, n_words, n_hit, and `items`, the sorted ids (as strings) of the items with windows in it."""
-    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("_text")).where(F.col("item").isNotNull())
+    items = bench.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("_text"))
     windows = items.select("item", words(F.col("_text")).alias("w")).select(
         "item",
         F.explode(bind(F.col("w"), lambda w: F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.struct(F.lit(WINDOW).alias("len"), F.array_join(F.slice(w, i, WINDOW), " ").alias("win")))).otherwise(F.filter(F.array(F.struct(F.size(w).alias("len"), F.array_join(w, " ").alias("win"))), lambda x: x["len"] > 0)))).alias("x"),
     )
-    windows = cut(windows.groupBy("x.len", "x.win").agg(F.collect_set("item").alias("items")))
+    held = cut(windows.select("x.len", "x.win", "item").distinct())
+    h = F.xxhash64("item")
+    windows = cut(held.groupBy("len", "win").agg(F.struct(F.count("item").alias("n"), F.bit_xor(h).alias("a"), F.sum(F.xxhash64(h, F.lit(1)).bitwiseAND(F.lit(0xFFFFFFFF))).alias("b")).alias("held_by")))
+    # one window stands for all that the same items hold
+    lists = windows.groupBy("held_by").agg(F.min(F.struct("len", "win")).alias("x")).select("held_by", "x.*")
+    lists = held.where(F.col("item").isNotNull()).join(lists, ["len", "win"]).select("held_by", "item")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most WINDOW numbers
     classes = [c for c in CLASSES if any(c[0] <= n <= c[1] for n in lengths)]
 
@@ -113,14 +120,18 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     near = slim.join(hit.withColumnsRenamed({"_id": "_i", "_h": "_g"}), F.col("_id").eqNullSafe(F.col("_i")) & F.col("_h").eqNullSafe(F.col("_g")))
     near = near.select("_id", "_h", F.explode(bind(F.struct(words(F.col("_text")).alias("w"), F.col("hits").alias("hits")), lambda s: around(s["w"], s["hits"]))).alias("x")).select("_id", "_h", "x.*")
-    found = near.join(_bounded(windows), ["len", "win"]).groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    met = cut(near.join(_bounded(windows), ["len", "win"]).select("_id", "_h", "at", "len", "held_by"))
+    found = met.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("spans"))
+    listed = met.select("_id", "_h", "held_by").distinct().join(_bounded(lists), "held_by").groupBy("_id", "_h").agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda acc, s: F.struct((acc["n"] + F.greatest(s["at"] + s["len"] - F.greatest(acc["end"], s["at"]), F.lit(0))).alias("n"), F.greatest(acc["end"], s["at"] + s["len"]).alias("end")),
         lambda acc: acc["n"],
     )
-    found = found.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), covered.alias("n_hit"), "items")
+    found = found.select(F.col("_id").alias("_i"), F.col("_h").alias("_g"), covered.alias("n_hit"))
+    listed = listed.withColumnsRenamed({"_id": "_k", "_h": "_l"})
+    found = found.join(listed, F.col("_i").eqNullSafe(F.col("_k")) & F.col("_g").eqNullSafe(F.col("_l")), "left")
     out = of_docs.select("_id", "_h", "n_words").join(found, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_h").eqNullSafe(F.col("_g")), "left")
     return out.select(F.col("_id").alias(id_col), F.col("n_words").cast("long"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
