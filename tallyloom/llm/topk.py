@@ -3,11 +3,11 @@
 * Rows are dealt by a hash into blocks.  A block keeps, for each dimension, its postings (row, value) in order of falling
   |value|, cut into segments of equal quantised impact (LEVELS steps of |value|).  The index is a table of such blocks: their
   postings are ordered once, when it is built, and any number of searches read it.
-* A query takes the segments of all dimensions in order of falling |query value| * step and adds each posting's exact
-  contribution to its row's accumulator.  A row's score then differs from its accumulator by at most `slack`, the sum over
+* A query takes the segments of all dimensions in order of falling |query value| * step, in waves, and adds each posting's
+  exact contribution to its row's accumulator.  A row's score then differs from its accumulator by at most `slack`, the sum over
   dimensions of |query value| * (the largest value not yet taken).  Rows that are more than 2 * slack below the k-th
   accumulator are proven out.  Once few rows are left, or nothing is, the possible members are scored exactly.
-* Queries come in blocks, too, of as many rows.  Blocks meet as cogroups of one row each, so a task holds one block of rows and
+* Queries come in blocks, too.  Blocks meet as cogroups of one row each, so a task holds one block of rows and
   one of queries at a time, and returns k rows a query; the k best of all blocks are merged by query.
 
 Defined cases: vectors that are null or hold null or non-finite components, and null ids, take no part; shorter vectors count
@@ -27,9 +27,11 @@ from pyspark.sql import Window as W
 from .common import cut
 
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 8192
+BLOCK_QUERIES = 2048
 LEVELS = 16
-#: Shares of the segments after which the proof is tried.
+#: Once the proof leaves a row in RESCORED, these are scored exactly.
+RESCORED = 8
+#: Shares of the segments after which the proof is tried; the segments between two tries are added in one pass.
 TRIES = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 
@@ -41,8 +43,9 @@ class ImpactBlock:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, stored: tuple | None = None):
         """rows: one integer vector a row; stored: postings, cuts and edges, if they have been made before."""
         self.ids, self.rows = ids, rows
-        self.order, self.cuts, self.edges = stored or self._ordered(rows)
-        self.values = np.take_along_axis(rows.T, self.order.astype(np.int64), axis=1)
+        order, self.cuts, self.edges = stored or self._ordered(rows)
+        self.order = order.astype(np.intp)
+        self.values = np.take_along_axis(rows.T, self.order, axis=1)
 
     @staticmethod
     def _ordered(rows: np.ndarray) -> tuple:
@@ -58,7 +61,7 @@ class ImpactBlock:
 
     def stored(self) -> dict:
         n, dims = self.rows.shape
-        return {"dims": dims, "ids": self.ids.tobytes(), "rows": self.rows.tobytes(), "postings": self.order.tobytes(), "cuts": self.cuts.astype(np.int64).tobytes(), "edges": self.edges.astype(np.int64).tobytes()}
+        return {"dims": dims, "ids": self.ids.tobytes(), "rows": self.rows.tobytes(), "postings": self.order.astype(np.int32).tobytes(), "cuts": self.cuts.astype(np.int64).tobytes(), "edges": self.edges.astype(np.int64).tobytes()}
 
     @classmethod
     def read(cls, row) -> "ImpactBlock":
@@ -67,30 +70,40 @@ class ImpactBlock:
         levels = [np.frombuffer(row[c], np.int64).reshape(dims, LEVELS + 1) for c in ("cuts", "edges")]
         return cls(ids, np.frombuffer(row["rows"], np.int64).reshape(len(ids), dims), (np.frombuffer(row["postings"], np.int32).reshape(dims, len(ids)), *levels))
 
+    def _added(self, query: np.ndarray, done: np.ndarray, upto: np.ndarray, exact: bool) -> np.ndarray:
+        """What the segments from `done` to `upto` of each dimension add to each row's accumulator."""
+        slices = [(d, slice(self.cuts[d, done[d]], self.cuts[d, upto[d]])) for d in np.flatnonzero(upto > done)]
+        if not slices:
+            return np.zeros(len(self.ids), np.int64)
+        at = np.concatenate([self.order[d, s] for d, s in slices])
+        if exact:  # doubles hold these sums exactly
+            return np.bincount(at, np.concatenate([self.values[d, s] * float(query[d]) for d, s in slices]), len(self.ids)).astype(np.int64)
+        out = np.zeros(len(self.ids), np.int64)
+        np.add.at(out, at, np.concatenate([self.values[d, s] * query[d] for d, s in slices]))
+        return out
+
     def search(self, own: int, query: np.ndarray, k: int):
         """(ids, scores) of the k best rows other than `own`."""
         weight = np.abs(query)
-        impact = (weight[:, None] * self.edges[:, :-1]).ravel()
-        plan = np.argsort(-impact, kind="stable")
-        plan = plan[impact[plan] > 0]
+        impact = weight[:, None] * self.edges[:, :-1]
+        order = np.sort(impact[impact > 0])[::-1]
+        exact = int((weight * self.edges[:, 0]).sum()) < 1 << 52
+        done = np.zeros(len(query), np.int64)
         total = np.zeros(len(self.ids), np.int64)
         out = self.ids == own
         low = int(-np.iinfo(np.int64).max // 4)
-        reach = weight * self.edges[:, 0]
-        tries = {int(len(plan) * t) for t in TRIES}
         possible = None
-        for i, at in enumerate(plan):
-            d, level = divmod(int(at), LEVELS)
-            a, b = self.cuts[d, level], self.cuts[d, level + 1]
-            if b > a:
-                total[self.order[d, a:b]] += query[d] * self.values[d, a:b]
-            reach[d] = weight[d] * self.edges[d, level + 1]
-            if i in tries and len(total) > k:
-                slack = int(reach.sum())
+        for share in (*TRIES, 1.0) if len(order) else ():
+            # impacts fall along a dimension, so the segments of at least the wave's last impact are its first ones
+            upto = (impact >= order[max(int(len(order) * share) - 1, 0)]).sum(axis=1)
+            total += self._added(query, done, upto, exact)
+            done = upto
+            if share < 1 and len(total) > k:
+                slack = int((weight * self.edges[np.arange(len(query)), done]).sum())
                 seen = np.where(out, low, total)
                 kth = np.partition(seen, len(seen) - k)[len(seen) - k]
                 possible = np.flatnonzero(seen >= kth - 2 * slack)
-                if len(possible) <= max(8 * k, len(total) // 64):
+                if len(possible) <= max(8 * k, len(total) // RESCORED):
                     break
                 possible = None
         if possible is None:
@@ -99,7 +112,7 @@ class ImpactBlock:
                 seen = total[possible]
                 possible = possible[seen >= np.partition(seen, len(seen) - k)[len(seen) - k]]
         possible = possible[~out[possible]]
-        scores = self.rows[possible].astype(np.int64) @ query
+        scores = self.rows[possible] @ query
         best = np.lexsort((self.ids[possible], -scores))[:k]
         return self.ids[possible[best]], scores[best]
 
