@@ -8,7 +8,8 @@
 2. Sites.  Grouped aggregations over all documents give every host and every path (a second key within the host) its number
    of documents and expected bad ones.  Method of moments gives the strengths of two priors: hosts are shrunk towards the
    global rate, paths towards their host.  A sparse site therefore stays near its parent.
-3. The log-odds of a document are those of its text plus the shift of its path from the global rate.
+3. The log-odds of a document are those of its text plus the shift of its path from the global rate.  Its own score is taken
+   out of its path's and its host's sums first, so that a document alone at its site moves nothing.
 
 Sites are aggregated before they are shuffled and joined by key; adaptive execution splits the rows of a hot one.
 
@@ -24,7 +25,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -149,12 +150,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _prior(sites: DataFrame, parent: str) -> float:
+def _prior(sites: DataFrame, k: str, n: str, parent: str) -> float:
     """Strength of the Beta prior from the spread of site rates around their parents', by moments."""
-    r = sites.where("n > 1").agg(
-        F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))).alias("within"),
-        F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col(parent), 2)).alias("between"),
-        F.sum("n").alias("n"), F.count("*").alias("sites")).first()
+    k, n, parent = F.col(k), F.col(n), F.col(parent)
+    r = sites.where(n > 1).agg(
+        F.sum(n * parent * (1 - parent)).alias("within"),
+        F.sum(n * F.pow(k / n - parent, 2)).alias("between"),
+        F.sum(n).alias("n"), F.count("*").alias("sites")).first()
     if not r["sites"] or not r["within"]:
         return 1e6
     spread = (r["between"] - r["within"] * r["sites"] / r["n"]) / (r["n"] - r["sites"] or 1)  # beyond what chance gives
@@ -162,8 +164,14 @@ def _prior(sites: DataFrame, parent: str) -> float:
     return float(min(max(mean / spread - 1, 1.0), 1e6)) if spread > 0 else 1e6
 
 
+def _shrunk(k: Column, n: Column, strength: float, parent: Column) -> Column:
+    """The posterior rate of a site with k of n under a Beta prior around its parent's rate."""
+    rate = (F.greatest(k, F.lit(0.0)) + strength * parent) / (F.greatest(n, F.lit(0.0)) + strength)
+    return F.greatest(F.least(rate, F.lit(1 - 1e-6)), F.lit(1e-6))
+
+
 def classify(docs: DataFrame, model: Evidence, id_col: str = "doc_id", text_col: str = "text", host: str = "source", path: str = "lang", reject: float = 0.5) -> DataFrame:
-    """(id, p_toxic, p_low, site_toxic, site_low, keep): one row a document."""
+    """(id, p_toxic, p_low, site_toxic, site_low, keep): one row a document; site_* is what its site's other documents say."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("toxic double, low double")
@@ -171,21 +179,22 @@ def classify(docs: DataFrame, model: Evidence, id_col: str = "doc_id", text_col:
         return pd.DataFrame([shared.value.logit(features(t)) for t in texts], columns=list(TARGETS))
 
     scored = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), evidence(text_col).alias("e")).select("_id", "_host", "_path", "e.*"))
-    out = scored
+    own = {t: 1 / (1 + F.exp(-F.col(t))) for t in TARGETS}
+    paths = cut(scored.groupBy("_host", "_path").agg(F.count("*").cast("double").alias("n"), *[F.sum(own[t]).alias(f"k_{t}") for t in TARGETS]))
+    whole = paths.agg(F.sum("n").alias("n"), *[F.sum(f"k_{t}").alias(t) for t in TARGETS]).first()
+    hosts = paths.groupBy("_host").agg(F.sum("n").alias("host_n"), *[F.sum(f"k_{t}").alias(f"host_k_{t}") for t in TARGETS])
+    sites = cut(paths.join(hosts, "_host"))
+    out = scored.join(sites, ["_host", "_path"])
     for t in TARGETS:
-        p = 1 / (1 + F.exp(-F.col(t)))
-        paths = cut(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(p).alias("k")))
-        whole = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-        rate = min(max((whole["k"] or 0) / (whole["n"] or 1), 1e-6), 1 - 1e-6)
-        hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("parent", F.lit(rate))
-        strength = _prior(hosts, "parent")
-        hosts = hosts.select("_host", ((F.col("k") + strength * rate) / (F.col("n") + strength)).alias("parent"))
-        paths = paths.join(hosts, "_host")
-        strength = _prior(paths, "parent")
-        site = F.greatest(F.least((F.col("k") + strength * F.col("parent")) / (F.col("n") + strength), F.lit(1 - 1e-6)), F.lit(1e-6))
-        paths = paths.select("_host", "_path", site.alias(f"site_{t}"))
+        rate = min(max((whole[t] or 0) / (whole["n"] or 1), 1e-6), 1 - 1e-6)
+        host_strength = _prior(hosts.withColumn("parent", F.lit(rate)), f"host_k_{t}", "host_n", "parent")
+        parent = _shrunk(F.col(f"host_k_{t}"), F.col("host_n"), host_strength, F.lit(rate))
+        strength = _prior(sites.withColumn("parent", parent), f"k_{t}", "n", "parent")
+        others = _shrunk(F.col(f"host_k_{t}") - own[t], F.col("host_n") - 1, host_strength, F.lit(rate))
+        site = _shrunk(F.col(f"k_{t}") - own[t], F.col("n") - 1, strength, others)
+        out = out.withColumn(f"site_{t}", site)
         shift = F.log(F.col(f"site_{t}") / (1 - F.col(f"site_{t}"))) - math.log(rate / (1 - rate))
-        out = out.join(paths, ["_host", "_path"]).withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(t) + shift))))
+        out = out.withColumn(f"p_{t}", 1 / (1 + F.exp(-(F.col(t) + shift))))
     return out.select(F.col("_id").alias(id_col), "p_toxic", "p_low", "site_toxic", "site_low", ((F.col("p_toxic") < reject) & (F.col("p_low") < reject)).alias("keep"))
 
 
