@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from operator import eq
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ from .common import cut
 SAMPLE = 20_000
 FEATURES = 20_000
 SHRINK = 8.0
+#: Words whose features a task remembers before it starts anew.
+WORDS_KEPT = 200_000
 STRIP = ".,;:!?()[]{}<>*$%&#|\"'`~^_=+-/\\"
 SYMBOLS = b"*$%&#|<>{}[]=_~^@\\"
 TARGETS = ("toxic", "low")
@@ -42,23 +46,29 @@ def _bin(name: str, share: float) -> str:
     return f"{name}:{round(2 * math.log2(share + 1 / 256))}"
 
 
-def features(text: str | None) -> set[str]:
-    text = text or ""
+def _style(text: str, written: list[str], words: list[str]) -> set[str]:
     raw = text.encode("utf-8", "surrogatepass")
-    written = text.split()
-    words = text.lower().split()
     n, m = max(len(raw), 1), max(len(words), 1)
-    out = {
+    return {
         _bin(" symbols", (len(raw) - len(raw.translate(None, SYMBOLS))) / n),
         _bin(" capitals", sum(map(str.isupper, written)) / m),
         _bin(" stutter", sum(map(eq, words, words[1:])) / m),
         _bin(" repeats", 1 - len(set(words)) / m if words else 0.0),
         f" words:{len(words).bit_length()}",
     }
-    for w in {w.strip(STRIP) for w in words}:
-        if w:
-            out.add(w)
-            out.update(w[:k] + "-" for k in (3, 4, 5) if len(w) > k)
+
+
+def _of_word(word: str) -> list[str]:
+    w = word.strip(STRIP)
+    return [w, *[w[:k] + "-" for k in (3, 4, 5) if len(w) > k]] if w else []
+
+
+def features(text: str | None) -> set[str]:
+    text = text or ""
+    words = text.lower().split()
+    out = _style(text, text.split(), words)
+    for w in set(words):
+        out.update(_of_word(w))
     return out
 
 
@@ -105,9 +115,32 @@ class Evidence:
                 out[t] = _strongest([log_odds(c[1 + i] - less[1], c[0] - less[0], self.rates[t]) for c in known])
         return out
 
-    def logit(self, own: set[str]) -> list[float]:
-        found = self.scored(own)
-        return [float(self.weights[t] @ np.r_[1.0, found[t]]) if t in self.weights else -12.0 for t in TARGETS]
+    def judge(self) -> Callable[[str | None], list[float]]:
+        """A function from texts to log-odds by target; it scores each feature once and remembers the known features of words."""
+        rates = [self.rates.get(t) for t in TARGETS]
+        scores = {f: tuple(log_odds(c[1 + i], c[0], r) if r else 0.0 for i, r in enumerate(rates)) for f, c in self.counts.items()}
+        weights = [self.weights.get(t) for t in TARGETS]
+
+        class Known(dict):
+            """The known features of each word met; begun anew when WORDS_KEPT words are held."""
+
+            def __missing__(self, word: str) -> tuple:
+                if len(self) >= WORDS_KEPT:
+                    self.clear()
+                own = self[word] = tuple([f for f in _of_word(word) if f in scores])
+                return own
+
+        known = Known()
+
+        def logit(text: str | None) -> list[float]:
+            text = text or ""
+            words = text.lower().split()
+            own = {f for f in _style(text, text.split(), words) if f in scores}
+            own.update(*map(known.__getitem__, set(words)))
+            found = [scores[f] for f in own]
+            return [float(w @ np.r_[1.0, _strongest([x[i] for x in found])]) if w is not None else -12.0 for i, w in enumerate(weights)]
+
+        return logit
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str = "toxic", sample: int = SAMPLE, limit: int = FEATURES) -> Evidence:
@@ -175,8 +208,10 @@ def classify(docs: DataFrame, model: Evidence, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("toxic double, low double")
-    def evidence(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.logit(features(t)) for t in texts], columns=list(TARGETS))
+    def evidence(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        logit = shared.value.judge()
+        for texts in batches:
+            yield pd.DataFrame([logit(t) for t in texts], columns=list(TARGETS))
 
     scored = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("_path"), evidence(text_col).alias("e")).select("_id", "_host", "_path", "e.*"))
     own = {t: 1 / (1 + F.exp(-F.col(t))) for t in TARGETS}

@@ -77,8 +77,11 @@ def judged(docs, model):
     """(p_toxic, p_low) by id, as the docstring of the operator has it."""
     out = defaultdict(list)
     site = {d[0]: (d[2] or "", d[3] or "") for d in docs}
-    for i, _ in enumerate(TARGETS):
-        logit = {d[0]: model.logit(features(d[4]))[i] for d in docs}
+    for i, t in enumerate(TARGETS):
+        logit = {}
+        for d in docs:
+            found = model.scored(features(d[4]))
+            logit[d[0]] = sum(w * x for w, x in zip(model.weights[t], (1.0, *found[t]))) if t in model.weights else -12.0
         p = {k: 1 / (1 + math.exp(-x)) for k, x in logit.items()}
         rate = clipped(sum(p.values()) / len(p))
         paths, hosts = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
