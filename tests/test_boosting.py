@@ -137,3 +137,34 @@ def test_scores_are_equal_after_a_reload(spark, planted, tmp_path):
     assert snaps.versions() == [1, 2] and snaps.table("state").count() == 10 and snaps.table("state", 1).count() == 3000
     both = models.three(model.transform(train)).select("match_id", F.col("p0").alias("x")).join(models.three(snaps.pipeline("outcome").transform(train)).select("match_id", F.col("p0").alias("y")), "match_id")
     assert both.where("x <> y").count() == 0 and both.count() == 3000
+
+
+def test_chunks_hold_each_row_once_in_order_of_blocks_and_trees_are_walked_alike():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, width = 2 * boosting.CHUNK + 77, 3
+    x, label, block = rng.integers(0, 32, (n, width)).astype(np.uint8), rng.integers(0, 3, n), rng.integers(0, 5, n)
+    whole = pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(block, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "block", "x"])
+    chunks = list(boosting._chunks((whole.slice(k, 1000) for k in range(0, n, 1000)), width))
+    assert 2 <= len(chunks) <= 3 and all((np.diff(b) >= 0).all() and c.shape == (width, len(b)) for c, _, b in chunks)
+    rows = lambda x, label, block: sorted(zip(*map(list, x.T), label, block))
+    assert sorted(r for c, l, b in chunks for r in rows(c.T, l, b)) == rows(x, label, block)
+    for depth in (1, 2, 4):
+        split, at = rng.integers(0, width, 2**depth - 1), rng.integers(0, 33, 2**depth - 1)
+        got = boosting._leaves(np.ascontiguousarray(x.T), (split, at, None))
+        for r, leaf in list(zip(x, got))[:500]:
+            node = 0
+            for _ in range(depth):
+                node = 2 * node + 1 + int(r[split[node]] > at[node])
+            assert leaf == node - len(split)
+
+
+def test_a_search_makes_no_pass_for_models_that_have_ended(planted, monkeypatch):
+    rows, _ = planted
+    edges = boosting.cut_points(rows, FEATURES)
+    table = boosting.packed(models.blocked(rows, 4), FEATURES, edges, block="block")
+    passes, real = [], boosting._pass
+    monkeypatch.setattr(boosting, "_pass", lambda t, m, growing, n, level: passes.append(len(growing)) or real(t, m, growing, n, level))
+    both = boosting.fit_many(table, FEATURES, edges, [Params(rounds=1, depth=3, fold=4), Params(rounds=2, depth=1, fold=4)])
+    assert passes == [2, 1, 1, 2, 1] and [len(m.trees) for m in both] == [1, 2]
