@@ -2,8 +2,9 @@
 
 Each match reads both teams' ratings and then moves them by K * margin * (score - expectation), so it is no window.  Matches
 of teams that are not connected by a chain of opponents commute: components are found on the distinct pairs of opponents and
-replayed in parallel, each in time order.  A component's rows (seven narrow columns) go to one task; a single component that
-holds everything is replayed by one task, which is the limit of exact sequential replay.
+replayed in parallel, each in time order.  A component's rows (narrow columns) are sorted by Spark and stream through one task
+in batches, which holds no more than a rating a team; a single component that holds everything is replayed by one task, which
+is the limit of exact sequential replay.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +46,26 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _replay(base: float, home_edge: float, digits: tuple[int, int] | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "match_id"], kind="stable")
-        rating: dict = {}
-        out = np.empty((len(pdf), 5))
-        for i, (h, a, score, weight, edge, seed_h, seed_a) in enumerate(zip(pdf["home"], pdf["away"], pdf["score"], pdf["weight"], pdf["edge"], pdf["seed_h"], pdf["seed_a"])):
-            eh = rating.get(h, base if math.isnan(seed_h) else seed_h)
-            ea = rating.get(a, base if math.isnan(seed_a) else seed_a)
-            exp = 1.0 / (1.0 + 10.0 ** ((ea - (eh + home_edge * edge)) / 400.0))
-            step = weight * (score - exp)
-            nh, na = eh + step, ea - step
-            if digits:
-                nh, na = (math.floor(x * 10 ** digits[0] + 0.5) / 10 ** digits[0] for x in (nh, na))
-            rating[h], rating[a] = nh, na
-            out[i] = eh, ea, math.floor(exp * 10 ** digits[1] + 0.5) / 10 ** digits[1] if digits else exp, nh, na
-        return pd.DataFrame({"match_id": pdf["match_id"].to_numpy(), **{c: out[:, i] for i, c in enumerate(("elo_h", "elo_a", "exp_h", "elo_h_post", "elo_a_post"))}})
+    """Replays batches of rows in order of (component, date, match_id); only the ratings of the component at hand are held."""
+
+    def run(batches):
+        component, rating = None, {}
+        for b in batches:
+            out = np.empty((len(b), 5))
+            columns = [b.column(c).to_pylist() for c in ("component", "home", "away")] + [b.column(c).fill_null(math.nan).to_pylist() for c in ("score", "weight", "edge", "seed_h", "seed_a")]
+            for i, (c, h, a, score, weight, edge, seed_h, seed_a) in enumerate(zip(*columns)):
+                if c != component:
+                    component, rating = c, {}
+                eh = rating.get(h, base if math.isnan(seed_h) else seed_h)
+                ea = rating.get(a, base if math.isnan(seed_a) else seed_a)
+                exp = 1.0 / (1.0 + 10.0 ** ((ea - (eh + home_edge * edge)) / 400.0))
+                step = weight * (score - exp)
+                nh, na = eh + step, ea - step
+                if digits:
+                    nh, na = (math.floor(x * 10 ** digits[0] + 0.5) / 10 ** digits[0] for x in (nh, na))
+                rating[h], rating[a] = nh, na
+                out[i] = eh, ea, math.floor(exp * 10 ** digits[1] + 0.5) / 10 ** digits[1] if digits else exp, nh, na
+            yield pa.RecordBatch.from_arrays([b.column("match_id").cast(pa.int64()), *[pa.array(out[:, k]) for k in range(5)]], ["match_id", "elo_h", "elo_a", "exp_h", "elo_h_post", "elo_a_post"])
 
     return run
 
@@ -80,4 +86,4 @@ def replay(m: DataFrame, weight: Column, score: Column | None = None, base: floa
     else:
         rows = rows.join(seeds.withColumnsRenamed({"team": "home", "seed": "seed_h"}), "home", "left").join(seeds.withColumnsRenamed({"team": "away", "seed": "seed_a"}), "away", "left")
     rows = rows.join(comp.withColumnRenamed("team", "home"), "home").withColumns({"seed_h": F.coalesce("seed_h", F.lit(float("nan"))), "seed_a": F.coalesce("seed_a", F.lit(float("nan")))})
-    return rows.groupBy("component").applyInPandas(_replay(base, home_edge, digits), OUT)
+    return rows.repartition("component").sortWithinPartitions("component", F.asc_nulls_last("date"), F.asc_nulls_last("match_id")).mapInArrow(_replay(base, home_edge, digits), OUT)
