@@ -17,8 +17,9 @@ row of the manifest, which is checkpointed; a lost executor costs only its unfin
 pyarrow's file systems, so the folder can be any address that those know.
 
 Encoding: no token of a byte-level tokenizer goes across a single space between two other characters, so texts are encoded
-in pieces cut before such spaces, each distinct piece once a worker.  A piece of letters and closing punctuation is one
-pre-token or two, so it goes straight to the tokenizer's model; all others go through its whole chain.
+in pieces cut before such spaces, each distinct piece once a worker, which remembers the pieces met last.  A piece of letters
+goes straight to the tokenizer's model; closing punctuation and lines, which no token goes across either, are cut off and put
+together from what is known; all other pieces go through the whole chain.
 
 Defined cases: a null text is an empty one, which has the end id alone; a null id sorts first and is read as null; equal ids
 follow each other in the order of their texts; no documents make no files or empty ones.
@@ -47,8 +48,10 @@ FRAME_IDS = 65_536
 CHARS_PER_FILE = 64_000_000
 END_ID = 0
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-WHITE_PAIR = re.compile(r"\s\s")
+SPACE_PAIR = re.compile(r" (?:(?=\s)|(?<=\s ))")
+LONE_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces that a worker remembers in each of two generations.
 PIECES = 400_000
 
 
@@ -64,7 +67,9 @@ SPACE_CHAR = chr(BYTE_CHARS[32])
 
 
 class Encoder(dict):
-    """Piece of text -> its ids as bytes, by the tokenizers library."""
+    """Piece of text -> its ids as bytes, by the tokenizers library.
+
+    When PIECES are held, they become the former generation, from which those that are met again come back."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,32 +77,43 @@ class Encoder(dict):
 
         self.tokenizer = t = Tokenizer.from_file(path)
         self.model = t.model
+        self.former: dict[str, bytes] = {}
         chain = repr(t.pre_tokenizer).replace(" ", "")
         # letters stay together under this pre-tokenizer alone, and where no added token can lie within them
         self.direct = chain.startswith("ByteLevel(") and "use_regex=True" in chain and "add_prefix_space=False" in chain and t.normalizer is None and not any(x.content.strip().isalpha() for x in t.get_added_tokens_decoder().values())
+        self.lines = self.direct and not any("\n" in x.content or x.lstrip or x.rstrip for x in t.get_added_tokens_decoder().values())
 
     def _chain(self, piece: str) -> list[int]:
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
+        ids = self.former.get(piece)
+        if ids is None:
+            if self.lines and "\n" in piece and len(lines := LONE_LINE.split(piece)) > 1:
+                return self["\n"].join([self[x] for x in lines])  # seldom met twice
+            ids = self._encoded(piece)
         if len(self) >= PIECES:
+            self.former = dict(self)
             self.clear()
-        word = piece.rstrip(string.punctuation)
-        if self.direct and word.removeprefix(" ").isalpha():
-            shown = word.replace(" ", SPACE_CHAR) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
-            if len(word) < len(piece):
-                ids += self[piece[len(word) :]]
-        else:
-            ids = array("I", self._chain(piece)).tobytes()
         self[piece] = ids
         return ids
 
+    def _encoded(self, piece: str) -> bytes:
+        word = piece.rstrip(string.punctuation)
+        if not self.direct or not word.removeprefix(" ").isalpha():
+            return array("I", self._chain(piece)).tobytes()
+        if len(word) < len(piece):
+            return self[word] + self[piece[len(word) :]]
+        shown = word.replace(" ", SPACE_CHAR) if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = LONE_SPACE.split(text) if WHITE_PAIR.search(text) else text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        if "\0" in text or SPACE_PAIR.search(text):
+            first, *rest = LONE_SPACE.split(text)
+            return self[first] + b"".join([self[" " + x] for x in rest])
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 _encoders: dict[str, Encoder] = {}

@@ -148,3 +148,29 @@ def test_impact_block_is_exact():
             ids, scores = block.search(0, q, 5)
             want = sorted(((-int(r @ q), i) for i, r in enumerate(rows) if i), key=lambda x: x)[:5]
             assert list(zip((-scores).tolist(), ids.tolist())) == want
+
+
+def test_pieces_met_again_outlast_a_full_memory(monkeypatch):
+    from tallyloom.llm import token_files
+
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_files, "PIECES", 40)
+    e, asked = Encoder(public.path("byte_bpe_50k.json")), []
+
+    class Counted:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, word):
+            asked.append(word)
+            return self.model.tokenize(word)
+
+    e.model = Counted(e.model)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [f"q{x}{y}z" for x in letters for y in letters]
+    text = " ".join(f"some {word} house." for word in rare)
+    whole = e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == whole
+    assert asked.count("Ġsome") == asked.count("Ġhouse") == 1 and len(e) + len(e.former) <= 80
+    for odd in ("a.\nB c", "a\n\nB", " a  b", "a \nb", "x\0 y", "\n", "it's\tso\n", "<|endoftext|>\nA b"):
+        assert np.frombuffer(e.encode(odd), "<u4").tolist() == e.tokenizer.encode(odd, add_special_tokens=False).ids
