@@ -9,7 +9,11 @@ distribution touches no cell; a cell is one product.  Only exploded rows (81 a m
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,7 @@ def poisson(k: int, rate: Column) -> Column:
 
 def tau(i: int, j: int, lam: Column, mu: Column, rho: Column) -> Column | float:
     """Dependence of low scores."""
-    return {(0, 0): 1 - lam * mu * rho, (0, 1): 1 + lam * rho, (1, 0): 1 + mu * rho, (1, 1): 1 - rho}.get((i, j), F.lit(1.0))
+    return {(0, 0): 1 - lam * mu * rho, (0, 1): 1 + lam * rho, (1, 0): 1 + mu * rho, (1, 1): 1 - rho}.get((i, j), 1.0)
 
 
 def chances(rate: Column, size: int = SIZE) -> Column:
@@ -38,17 +42,18 @@ def cells(lam: Column, mu: Column, rho: Column | None = None, size: int = SIZE)
     base = F.struct(chances(lam, size).alias("x"), chances(mu, size).alias("y"), lam.alias("l"), mu.alias("u"), (rho if rho is not None else F.lit(0.0)).alias("r"))
 
     def sums(b):
-        x, y = ([b[side][k] for k in range(size)] for side in "xy")
-        below = lambda v: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.aggregate(F.slice(v, 1, k), F.lit(0.0), lambda s, c: s + c))
-        part = F.struct(below(b["x"]).alias("x"), below(b["y"]).alias("y"))
+        x, y = ([b[side][k] for k in range(2)] for side in "xy")
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("x", "y", *REGIONS)])
+
+        def add(s, k):
+            p, q = F.get(b["x"], k), F.get(b["y"], k)
+            return F.struct((s["x"] + p).alias("x"), (s["y"] + q).alias("y"), (s["h"] + p * s["y"]).alias("h"), (s["d"] + p * q).alias("d"), (s["a"] + q * s["x"]).alias("a"))
 
         def regions(c):
-            h = sum((x[k] * c["y"][k - 1] for k in range(2, size)), x[1] * y[0])
-            a = sum((y[k] * c["x"][k - 1] for k in range(2, size)), x[0] * y[1])
-            d = sum((x[k] * y[k] for k in range(1, size)), x[0] * y[0])
             low = {s: x[s[0]] * y[s[1]] * (tau(*s, b["l"], b["u"], b["r"]) - 1) for s in ((0, 0), (0, 1), (1, 0), (1, 1))}
-            return F.struct((h + low[1, 0]).alias("h"), (d + low[0, 0] + low[1, 1]).alias("d"), (a + low[0, 1]).alias("a"))
+            return F.struct((c["h"] + low[1, 0]).alias("h"), (c["d"] + low[0, 0] + low[1, 1]).alias("d"), (c["a"] + low[0, 1]).alias("a"))
 
+        part = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), zero, add)
         share = lambda s: {r: s[r] / (s["h"] + s["d"] + s["a"]) for r in REGIONS}
         return bind(bind(part, regions), lambda s: _distribution(b, {r: 1 / (s["h"] + s["d"] + s["a"]) for r in REGIONS}, share(s)))
 
@@ -92,19 +97,63 @@ def score_rows(df: DataFrame, *keep: str, name: str = "grid", size: int = SIZE)
     return rows.select(*keep, "i", "j", (F.get(g["x"], i) * F.get(g["y"], j) * low * by).alias("p"))
 
 
+def rounded_chance(p: Column, digits: int = 6) -> Column:
+    """round(p, digits) of a chance: arithmetic gives the same but near a half, where the decimal that is written decides."""
+    y = p * 10.0**digits
+    return F.when(F.abs(y - F.rint(y)) < 0.499, F.rint(y) / 10.0**digits).otherwise(F.round(p, digits)) + F.lit(0.0)
+
+
 def over(grid: Column, line: float = 2.5) -> Column:
     """Chance of more goals than the line: one less the few scores up to it."""
     few = [(i, j) for i in range(int(line) + 1) for j in range(int(line) + 1 - i)]
     return 1 - sum((cell(grid, *s) for s in few[1:]), cell(grid, *few[0]))
 
 
+def _half_up(p: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as Spark rounds: by the decimal that is written for a number, halves up."""
+    y = p * 10.0**digits
+    out = np.rint(y) / 10.0**digits
+    for at in zip(*np.nonzero(np.abs(y - np.rint(y)) > 0.499)):
+        out[at] = float(Decimal(repr(float(p[at]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
 def top_scores(grid: Column, k: int, digits: int | None = None, size: int = SIZE) -> Column:
-    """The k likeliest scores (i, j, p), ties in row order; chances are rounded to `digits` before they are compared, if given."""
+    """The k likeliest scores (i, j, p), ties in row order; chances are rounded to `digits` before they are compared, if given.
+
+    For single rows; `likeliest` is for tables, as an expression a cell makes methods that the JVM won't compile."""
     down = lambda p: -(F.round(p, digits) if digits is not None else p)
     every = F.array(*[F.struct(down(cell(grid, i, j)).alias("down"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(size) for j in range(size)])
     return F.transform(F.slice(F.sort_array(every), 1, k), lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), (-c["down"]).alias("p")))
 
 
+def likeliest(k: int, digits: int | None = None, name: str = "grid", size: int = SIZE) -> Column:
+    """The same of the distribution in the column `name`: a batch's cells are one array.  Spark can't pass it on unnamed."""
+    i, j = np.divmod(np.arange(size * size), size)
+    by = np.where(i > j, 0, np.where(i == j, 1, 2))
+
+    def run(x: pa.Array, y: pa.Array, l: pa.Array, u: pa.Array, r: pa.Array, h: pa.Array, d: pa.Array, a: pa.Array) -> pa.Array:  # noqa: E741
+        n = len(l)
+        doubles = lambda v: v.to_numpy(zero_copy_only=False).astype(float)
+        x, y = (np.stack([doubles(pc.list_element(v, at)) for at in range(size)], axis=1) for v in (x, y))
+        l, u, r = map(doubles, (l, u, r))  # noqa: E741
+        p = x[:, i] * y[:, j] * np.stack([doubles(v) for v in (h, d, a)], axis=1)[:, by]
+        for s in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            p[:, s[0] * size + s[1]] *= tau(*s, l, u, r)
+        p = p if digits is None else _half_up(p, digits)
+        left, rows = np.where(np.isnan(p), -1 - np.arange(size * size), p), np.arange(n)
+        best = np.zeros((n, k), np.int64)
+        for at in range(k):  # the first of equals
+            best[:, at] = left.argmax(axis=1)
+            left[rows, best[:, at]] = -np.inf
+        found = best.ravel()
+        values = pa.array(p[rows[:, None], best].ravel(), from_pandas=True)
+        cells_ = pa.StructArray.from_arrays([pa.array(i[found].astype(np.int32)), pa.array(j[found].astype(np.int32)), values], ["i", "j", "p"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), cells_)
+
+    return F.arrow_udf(run, "array<struct<i:int,j:int,p:double>>")(*[F.col(name)[c] for c in ("x", "y", "l", "u", "r", "by_h", "by_d", "by_a")])
+
+
 def over_line(rate: Column, line: float) -> Column:
     """Chance that a Poisson count exceeds the line."""
     return 1 - sum((poisson(k, rate) for k in range(1, int(line) + 1)), poisson(0, rate))

@@ -420,7 +420,7 @@ def gridded(spark, d):
 
 
 def exploded(df):
-    return rounded(grid.score_rows(df, "match_id").withColumns({"i": F.col("i").cast("long"), "j": F.col("j").cast("long")}))
+    return grid.score_rows(df, "match_id").select("match_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), grid.rounded_chance(F.col("p")).alias("p"))
 
 
 @query("i1_poisson_grid", GRID_SQL + f"SELECT match_id, i, j, {r6_sql('q / sum(q) OVER (PARTITION BY match_id)')} AS p FROM raw")
@@ -454,12 +454,13 @@ def over25(spark, d):
 
 @query("i6_modal_score", GRID_SQL + "SELECT match_id, i, j FROM (SELECT match_id, i, j, row_number() OVER (PARTITION BY match_id ORDER BY round(pp, 12) DESC, i, j) AS rn FROM proj) WHERE rn = 1")
 def modal_score(spark, d):
-    return projected(spark, d).select("match_id", F.get(grid.top_scores(F.col("grid"), 1, 12), 0).alias("c")).select("match_id", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"))
+    return projected(spark, d).select("match_id", F.get(grid.likeliest(1, 12), 0).alias("c")).select("match_id", F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"))
 
 
 @query("e19_top_scores", GRID_SQL + f"SELECT match_id, rn::INTEGER AS rank, i, j, {r6_sql('pp')} AS p FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(pp, 12) DESC, i, j) AS rn FROM proj) WHERE rn <= 6")
 def top_scores(spark, d):
-    out = projected(spark, d).select("match_id", F.posexplode(grid.top_scores(F.col("grid"), 6, 12)).alias("at", "c"))
+    out = projected(spark, d).select("match_id", grid.likeliest(6, 12).alias("top")).select("match_id", "top", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("at"))
+    out = out.select("match_id", "at", F.get("top", F.col("at")).alias("c"))
     return rounded(out.select("match_id", (F.col("at") + 1).alias("rank"), F.col("c.i").cast("long").alias("i"), F.col("c.j").cast("long").alias("j"), "c.p"))
 
 

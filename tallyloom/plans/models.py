@@ -114,7 +114,7 @@ def published(train, test, pool=0.95):
     p = p.withColumns({k: c for k, c in zip(("ph", "pd", "pa"), final)})
     p = p.withColumn("grid", grid.projected(grid.cells(F.col("lam"), F.col("mu"), F.lit(-0.05)), {"h": F.col("ph"), "d": F.col("pd"), "a": F.col("pa")}))
     chance = {"1X": F.col("ph") + F.col("pd"), "12": F.col("ph") + F.col("pa"), "X2": F.col("pd") + F.col("pa")}
-    p = p.withColumns({"over25": grid.over(F.col("grid")), "top": grid.top_scores(F.col("grid"), 3), "double_chance": odds.first_max(chance), "confidence": F.greatest(*chance.values())})
+    p = p.withColumns({"over25": grid.over(F.col("grid")), "top": grid.likeliest(3), "double_chance": odds.first_max(chance), "confidence": F.greatest(*chance.values())})
     written = F.transform("top", lambda t: F.format_string("%d-%d", t["i"], t["j"]))
     listed = F.transform("top", lambda t: F.format_string("%d-%d %.3f", t["i"], t["j"], t["p"]))
     return p.withColumns({"score": F.get(written, 0), "scores": F.array_join(listed, ", ")})

@@ -132,3 +132,17 @@ def test_region_settles_and_loose_keys_follow(spark):
     asked = spark.createDataFrame([(x,) for x in ("Liverpool", "Kalamata", "Volos NFC", "Nacional", "Nowhere Rovers")], "name string")
     got = dict(map(tuple, resolve.by_region(asked, known, ["ENG", "GRE", "POR", "ESP"]).collect()))
     assert got == {"Liverpool": 1, "Kalamata": 3, "Volos NFC": 4, "Nacional": None, "Nowhere Rovers": None}
+
+
+def test_top_scores_and_rounded_chances_of_many_distributions(spark):
+    """Against plain arithmetic and Spark's own rounding."""
+    rows = spark.range(7_000).select("id", (F.lit(0.5) + F.col("id") % 7 * 0.5).alias("lam"), (F.lit(0.5) + F.col("id") % 5 * 0.5).alias("mu"))
+    rows = rows.withColumn("grid", grid.cells(F.col("lam"), F.col("mu"), F.lit(-0.05)))
+    top = rows.withColumn("top", grid.likeliest(6, 12)).select("lam", "mu", "top").distinct().collect()
+    cells_ = grid.score_rows(rows.where("id < 35"), "lam", "mu").select("*", grid.rounded_chance(F.col("p")).alias("q"), F.round("p", 6).alias("want")).collect()
+    assert all(r["q"] == r["want"] for r in cells_) and len(cells_) == 35 * 81
+    for r in top:
+        of = sorted((-round(c["p"], 12), c["i"], c["j"]) for c in cells_ if (c["lam"], c["mu"]) == (r["lam"], r["mu"]))[:6]
+        assert [(t["i"], t["j"]) for t in r["top"]] == [(i, j) for _, i, j in of]
+    halves = spark.createDataFrame([(x,) for x in (0.0000005, 0.0000015, 0.1234565, 0.9999995, 0.1234564999, float("nan"), None, 1.0, 0.0)], "p double")
+    assert not halves.where(~grid.rounded_chance(F.col("p")).eqNullSafe(F.round("p", 6))).count()
