@@ -273,7 +273,9 @@ def _within(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
             keep = [hamming(p, q) <= most_apart(n, m, similarity) for n, m, p, q in zip(pdf["n"], pdf["m"], pdf["p"], pdf["q"])]
             yield pdf.loc[keep, ["a", "b"]]
 
-    wide = pairs.join(nodes.select(F.col("node").alias("a"), "n", F.col("sketch").alias("p")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q")), "b")
+    # sketches grow with the documents and compress well, as texts do: merged at every size, never broadcast
+    wide = pairs.join(nodes.select(F.col("node").alias("a"), "n", F.col("sketch").alias("p")).hint("merge"), "a")
+    wide = wide.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("q")).hint("merge"), "b")
     return wide.select("a", "b", "n", "m", "p", "q").mapInPandas(run, "a long, b long")
 
 
@@ -354,12 +356,17 @@ def _tiles(similarity: int, everything: bool):
     return run
 
 
+def _sketched(rows: DataFrame, nodes: DataFrame, everything: bool) -> DataFrame:
+    """`rows` with n and sketch of their node and, if `everything` is asked for, with all its keys; merged, never broadcast."""
+    if everything:
+        rows = rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("keys")).hint("merge"), "node")
+    return rows.join(nodes.select("node", "n", "sketch").hint("merge"), "node")
+
+
 def _across(rows: DataFrame, nodes: DataFrame, similarity: int, everything: bool, members: int) -> DataFrame:
     """(a, b, key, p, q, more) from the members (key, p, q, tile, node, component) of tile pairs."""
     bins = max(partitions(rows.sparkSession), members // TILE // 4)
-    if everything:
-        rows = rows.join(rows.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
-    rows = rows.join(nodes.select("node", "n", "sketch"), "node").withColumn("bin", F.pmod(F.xxhash64("key", "p", "q"), F.lit(bins)))
+    rows = _sketched(rows, nodes, everything).withColumn("bin", F.pmod(F.xxhash64("key", "p", "q"), F.lit(bins)))
     return cut(rows.groupBy("bin").applyInPandas(_tiles(similarity, everything), "a long, b long, key long, p int, q int, more boolean"))
 
 
