@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import odds
 from ..operators import settle
 from ..sources.matches import matches
+from ..sources.storage import stored
 from ..streaming import flows
 from ..streaming.rating_state import RatingState
 from .expressions import P_SQL, probabilities
@@ -46,7 +47,7 @@ PREDICTIONS = "SELECT match_id AS pid, home, away, date + (match_id % 9 - 4)::IN
 
 
 def both_streams(spark, d):
-    m = matches(spark, d)
+    m = stored(matches(spark, d).select("match_id", "date", "home", "away", "hg", "ag"))  # both streams are written from it
     p = m.where("match_id % 3 = 0").select(F.col("match_id").alias("pid"), "home", "away", F.date_add("date", (F.col("match_id") % 9 - 4).cast("int")).cast("timestamp").alias("p_ts"))
     r = m.select("match_id", "home", "away", F.col("date").cast("timestamp").alias("r_ts"), "hg", "ag")
     return flows.source(spark, p, order="p_ts"), flows.source(spark, r, order="r_ts")

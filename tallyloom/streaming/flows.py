@@ -76,12 +76,18 @@ def settled(predictions: DataFrame, results: DataFrame, days: int = 3, expiry: f
 
     With `expiry`, predictions without a result come out, too, with nulls, as soon as no result later than `expiry` days
     after them is awaited: the results' watermark trails by expiry - days, so the join lets go of them just then.
+
+    A prediction has one bin of time, a result each bin that it may be near to, so a row meets what is around its time, not all
+    that the sides have in the state.  A day more than `days` covers any change of the session's clock.
     """
     behind = f"{days + 1} days" if expiry is None else f"{int((expiry - days) * 24)} hours"
-    p = predictions.withWatermark("p_ts", f"{days + 1} days" if expiry is None else "1 day").alias("p")
-    r = results.withWatermark("r_ts", behind).alias("r")
+    span, width = days + 1, 7 * (days + 1)
+    bin_of = lambda ts, shift: F.floor((F.unix_timestamp(ts) + shift * 86400) / (width * 86400))
+    p = predictions.withWatermark("p_ts", f"{days + 1} days" if expiry is None else "1 day").withColumn("bin", bin_of("p_ts", 0)).alias("p")
+    r = results.withWatermark("r_ts", behind).withColumn("bin", F.explode(F.sequence(bin_of("r_ts", -span), bin_of("r_ts", span)))).alias("r")
     near = F.expr(f"r.r_ts >= p.p_ts - interval {days} days and r.r_ts <= p.p_ts + interval {days} days")
-    return p.join(r, (F.col("p.home") == F.col("r.home")) & (F.col("p.away") == F.col("r.away")) & near, "inner" if expiry is None else "left_outer")
+    same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in ("home", "away", "bin")]
+    return p.join(r, same[0] & same[1] & same[2] & near, "inner" if expiry is None else "left_outer").drop("bin")
 
 
 def tumbling(stream: DataFrame, width: str, *aggregates, keys=(), delay: str = "1 day", slide: str | None = None, ts: str = "ts") -> DataFrame:

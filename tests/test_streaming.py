@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,15 @@ def test_upserts_merge_as_deltas(spark):
     out = flows.drained(source, batch=batch)
     assert len(written) == 3 and max(written) <= 10
     assert {(r["k"], r["b"]) for r in out.groupBy("k").agg(F.max("best").alias("b")).collect()} == {(k, 390 + k) for k in range(10)}
+
+
+@pytest.mark.parametrize("expiry", [None, 14.5])
+def test_rows_meet_by_bins_of_time_and_lose_no_pair(spark, expiry):
+    rng = random.Random(3)
+    days = {k: rng.randrange(300) for k in range(2, 200)}
+    p, r = sides(spark, [(k, d) for k, d in days.items() if k % 3 == 0], "p"), sides(spark, [(k, d) for k, d in days.items() if k % 3], "r")
+    out = flows.settled(flows.source(spark, p, order="p_ts"), flows.source(spark, r, order="r_ts"), expiry=expiry)
+    assert re.search(r"bin#\d+L? = bin#\d+", out._jdf.queryExecution().analyzed().toString()) and "bin" not in out.columns
+    got = [(x["pid"], x["rid"]) for x in flows.drained(out.select("pid", "rid")).collect() if x["rid"] is not None]
+    want = [(a, b) for a in days for b in days if a % 3 == 0 and b % 3 and a % 2 == b % 2 and abs(days[a] - days[b]) <= 3]
+    assert len(want) > 50 and sorted(got) == sorted(want)
