@@ -45,8 +45,12 @@ def as_doubles(rows: DataFrame, cols: list[str]) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+def estimator(label: str = "label", penalty: float = 0.01) -> LogisticRegression:
+    return LogisticRegression(labelCol=label, family="auto", regParam=penalty, maxIter=50)
+
+
 def logistic(cols: list[str], label: str = "label", penalty: float = 0.01) -> Pipeline:
-    return Pipeline(stages=[*prepared(cols), LogisticRegression(labelCol=label, family="auto", regParam=penalty, maxIter=50)])
+    return Pipeline(stages=[*prepared(cols), estimator(label, penalty)])
 
 
 def boosted(cols: list[str], label: str = "label", classes: int = 3, trees: int = 5, depth: int = 3) -> Pipeline:
@@ -105,13 +109,19 @@ def ablation(rows: DataFrame, base: list[str], extra: list[str], adopt_below: fl
 
 
 def tuned(rows: DataFrame, cols: list[str], penalties: list[float], k: int = 4) -> DataFrame:
-    """(penalty, fold, logloss) on expanding time folds."""
-    folds = stored(form.expanding_folds(rows.select("match_id", "date"), k).join(rows, "match_id"))
+    """(penalty, fold, logloss) on expanding time folds.  A row is stored once, with the fold that tests it (0: none), and a
+    fold's features are prepared once for all penalties."""
+    n = form.numbered(rows.select("match_id", "date", "label", *cols)).join(rows.agg(F.count("*").alias("all")), how="cross")  # one row
+    size = F.expr(f"all div {k + 1}")
+    fold = F.when(size > 0, F.greatest(F.ceil((F.col("n") - F.col("all") + k * size) / size), F.lit(0))).otherwise(0)
+    table = stored(n.select("label", *cols, fold.cast("int").alias("fold")))
     out = None
-    for fold in range(1, k + 1):
-        train, test = (folds.where((F.col("fold") == fold) & (F.col("role") == r)) for r in ("train", "test"))
+    for f in range(1, k + 1):
+        train, test = table.where(F.col("fold") < f), table.where(F.col("fold") == f)
+        ready = Pipeline(stages=prepared(cols)).fit(train)
+        train, test = (ready.transform(x).select("label", "features") for x in (train, test))
         for p in penalties:
-            one = evaluated(three(logistic(cols, penalty=p).fit(train).transform(test)), str(p)).select(F.lit(p).alias("penalty"), F.lit(fold).alias("fold"), "logloss")
+            one = evaluated(three(estimator(penalty=p).fit(train).transform(test)), str(p)).select(F.lit(p).alias("penalty"), F.lit(f).alias("fold"), "logloss")
             out = one if out is None else out.unionByName(one)
     return out
 

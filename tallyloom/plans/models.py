@@ -21,11 +21,11 @@ ALL = models.BASE + models.SHOTS
 CARDS = ["h_form5", "a_form5", "elo_diff"]
 
 
-def frame(spark, d, m=None):
-    """Features of all matches; `m`: the matches, if they are stored already."""
+def frame(spark, d, m=None, cols=None):
+    """Features of all matches; `m`: the matches, if they are stored already; `cols`: the columns asked for, others aren't computed."""
     m = stored(matches(spark, d)) if m is None else m
-    rows = models.features(m, ratings.replay(m, weight(k_of_division())))
-    return stored(models.as_doubles(rows, [*ALL, "hg", "ag", "cards"]))
+    rows = models.as_doubles(models.features(m, ratings.replay(m, weight(k_of_division()))), [*ALL, "hg", "ag", "cards"])
+    return stored(rows if cols is None else rows.select(*cols))
 
 
 @query("j1_logistic")
@@ -79,7 +79,8 @@ def cards_ablation(spark, d):
 
 @query("j6_time_fold_search")
 def time_fold_search(spark, d):
-    found = models.tuned(frame(spark, d), models.BASE, [0.001, 0.1], k=4)
+    rows = frame(spark, d, cols=["match_id", "date", "label", *models.BASE])
+    found = models.tuned(rows, models.BASE, [0.001, 0.1], k=4)
     return rounded(found.groupBy("penalty").agg(F.count("*").alias("folds"), F.avg("logloss").alias("logloss")))
 
 
