@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import settle
 from ..sources import readers
 from ..sources.matches import matches
+from ..sources.storage import stored
 from ..streaming.flows import shared
 from ..functions import odds
 from .expressions import BETS_SQL, bets, probabilities
@@ -211,8 +212,9 @@ def saved_engine(spark, d):
     from ..sources.matches import team_matches
     from .models import frame
 
-    state = team_matches(matches(spark, d)).groupBy("team").agg(F.max_by("div", F.struct("date", "match_id")).alias("div"), F.max("date").alias("last_date"), F.count("*").alias("n"))
-    rows = frame(spark, d)
+    m = stored(matches(spark, d))
+    state = team_matches(m).groupBy("team").agg(F.max_by("div", F.struct("date", "match_id")).alias("div"), F.max("date").alias("last_date"), F.count("*").alias("n"))
+    rows = frame(spark, d, m, ["match_id", "date", "label", *models.BASE])
     model = models.logistic(models.BASE).fit(models.split(rows)[0])
     snaps = Snapshots(spark, f"{shared(spark)}/engine")
     snaps.publish({"state": state}, {"outcome": model})
